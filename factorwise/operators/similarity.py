@@ -91,7 +91,11 @@ def jaccard_pairs(sets: DataFrame, *, threshold: float = 0.7) -> DataFrame:
 
 def minhash_signatures(tokens: DataFrame, *, k: int = 128, seed: int = 7, key: str = "invoice_id") -> DataFrame:
     """k seeded minima of 64-bit token hashes, computed in the JVM."""
-    minima = [F.array_min(F.transform("tokens", lambda t, s=i: F.xxhash64(t, F.lit(seed * 1000 + s)))) for i in range(k)]
+
+    def minimum(i: int) -> Column:
+        return F.array_min(F.transform("tokens", lambda token: F.xxhash64(token, F.lit(seed * 1000 + i))))
+
+    minima = [minimum(i) for i in range(k)]
     return tokens.select(key, F.array(*minima).alias("signature"))
 
 
@@ -275,12 +279,15 @@ def nearest(
         visits = targets.where(F.col("cell").isin(list(base_blocks))).withColumn(
             "base_block", F.explode(F.sequence(F.lit(0), (splits - 1).cast("long")))
         )
-        wanted = visits.select(*by, "cell", "base_block", "home", "query_block").distinct()
-        copies = blocks.join(wanted, [*by, "cell", "base_block"])
         keys = [*by, "cell", "base_block", "home", "query_block"]
+        renamed = {c: f"w_{c}" for c in keys}
+        wanted = visits.select(*keys).distinct().withColumnsRenamed(renamed)
+        copies = blocks.join(
+            wanted, [F.col(c) == F.col(renamed[c]) for c in [*by, "cell", "base_block"]]
+        ).select("id", "vector", *renamed.values())
         return (
             visits.groupBy(*keys)
-            .cogroup(copies.groupBy(*keys))
+            .cogroup(copies.groupBy(*renamed.values()))
             .applyInPandas(_block_join(k, same, keep_max), "query_id string, id string, distance double")
         )
 
