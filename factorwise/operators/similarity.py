@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from factorwise.operators.dedup import top_matches
+from factorwise.plans.materialise import cut_lineage
 
 # ---------------------------------------------------------------- token sets
 
@@ -110,11 +111,14 @@ def lsh_candidates(
     """
     source = sets.where(F.col("n") > 0)
     signed = minhash_signatures(source, k=bands * rows, seed=seed, key="set_id")
-    banded = signed.select(
-        "set_id",
-        F.posexplode(
-            F.array(*[F.xxhash64(F.slice("signature", b * rows + 1, rows), F.lit(b)) for b in range(bands)])
-        ).alias("band", "bucket"),
+    # Read four times below: hash once, then scan.
+    banded = cut_lineage(
+        signed.select(
+            "set_id",
+            F.posexplode(
+                F.array(*[F.xxhash64(F.slice("signature", b * rows + 1, rows), F.lit(b)) for b in range(bands)])
+            ).alias("band", "bucket"),
+        )
     )
     sizes = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"))
     shared = banded.join(sizes.where((F.col("size") > 1) & (F.col("size") <= hot_bucket)), ["band", "bucket"])

@@ -293,4 +293,8 @@ def q(body: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in needed)
-    return f"with {ctes}\n{body.strip()}"
+    body = body.strip()
+    own = re.match(r"with( recursive)?\s+", body)
+    if own:  # the query brings common table expressions of its own
+        return f"with{own.group(1) or ''} {ctes},\n{body[own.end():]}"
+    return f"with {ctes}\n{body}"
