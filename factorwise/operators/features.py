@@ -218,8 +218,8 @@ def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     numeric = df.withColumns({c: F.col(c).try_cast("double") for c in cols})
     long = numeric.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])).alias("e")).select("e.*")
     medians = exact_quantiles(long, value="value", probs=[0.5], group=["column"])
-    known = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "q0")))).scalar()  # one entry per column
-    return numeric.withColumns({c: F.coalesce(F.col(c), F.element_at(known, F.lit(c))) for c in cols})
+    fitted = {r["column"]: r["q0"] for r in medians.collect()}  # one row per column
+    return numeric.withColumns({c: F.coalesce(F.col(c), F.lit(fitted.get(c)).cast("double")) for c in cols})
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -311,5 +311,10 @@ def vector(cols: Sequence[str]) -> Column:
 
 def standard_scale(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / sample deviation with the statistics of ``train``; constant columns become 0."""
-    stats = train.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols])).scalar()
-    return df.withColumns({c: F.coalesce(F.try_divide(F.col(c) - stats[c]["m"], stats[c]["s"]), F.lit(0.0)) for c in cols})
+    fitted = train.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+
+    def scaled(c: str) -> Column:
+        mean, spread = fitted[f"m_{c}"], fitted[f"s_{c}"]
+        return (F.col(c) - F.lit(mean)) / F.lit(spread) if spread else F.lit(0.0)
+
+    return df.withColumns({c: scaled(c) for c in cols})

@@ -85,7 +85,7 @@ def signal_scores(inv: DataFrame) -> DataFrame:
 
 def weighted(scores: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
     total = reduce(lambda s, n: s + scores[n] * weights[n], weights, F.lit(0.0))
-    return F.round(F.least(total, F.lit(1.0)), DIGITS)
+    return F.round(F.least(total, F.lit(1.0)), 9)
 
 
 def ensemble_score(scores: DataFrame, *, weights: Mapping[str, float] = ENSEMBLE_WEIGHTS) -> DataFrame:
@@ -124,7 +124,7 @@ def top_attributions(scores: DataFrame, *, weights: Mapping[str, float] = ENSEMB
         )
         for c, w in weights.items()
     ]
-    ranked = scores.select("invoice_id", F.posexplode(F.slice(F.array_sort(F.array(*parts)), 1, n)).alias("pos", "p"))
+    ranked = scores.select("invoice_id", F.posexplode(F.slice(F.sort_array(F.array(*parts)), 1, n)).alias("pos", "p"))
     return ranked.select("invoice_id", "p.feature", "p.contribution", (F.col("pos") + 1).alias("rank"))
 
 
@@ -144,4 +144,5 @@ def reference_similarity(df: DataFrame, reference: DataFrame) -> DataFrame:
         .agg(F.avg(F.col("x").cast("double")).alias("m"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean"))
     )  # one value per dimension
-    return df.select("id", F.round(cosine(F.col("vector"), mean.scalar()), DIGITS).alias("similarity"))
+    placed = df.select("id", "vector", mean.scalar().alias("_mean"))
+    return placed.select("id", F.round(cosine(F.col("vector"), F.col("_mean")), DIGITS).alias("similarity"))

@@ -205,29 +205,22 @@ def _reachable_cells(pivots: np.ndarray, radius: np.ndarray):
     return cells
 
 
-def _block_join(k: int, same: bool, keep_max: bool):
+def _block_join(k: int, same: bool):
     """Nearest k base rows of one bounded block for each query of one bounded block."""
 
     def join(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(base):
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        d = _distances(_matrix(queries["vector"]), _matrix(base["vector"]))
-        ids, qids = base["id"].to_numpy(), queries["query_id"].to_numpy()
+        d = _distances(_matrix(queries["query_vector"]), _matrix(base["base_vector"]))
+        ids, qids = base["base_id"].to_numpy(), queries["query_id"].to_numpy()
         if same:
             d[qids[:, None] == ids[None, :]] = np.inf
-        if keep_max:
-            d = np.where(d <= queries["bound"].to_numpy()[:, None] + 1e-9, d, np.inf)
-        # Ties at the cut keep the smaller id, as the final ranking does.
-        out_q, out_i, out_d = [], [], []
-        for row, qid in zip(d, qids):
-            near = np.flatnonzero(np.isfinite(row))
-            if len(near) > k:
-                edge = np.partition(row[near], k - 1)[k - 1]
-                near = near[row[near] <= edge + 1e-9]
-            out_q += [qid] * len(near)
-            out_i += ids[near].tolist()
-            out_d += row[near].tolist()
-        return pd.DataFrame({"query_id": out_q, "id": out_i, "distance": out_d})
+        d = np.where(d <= queries["bound"].to_numpy()[:, None] + 1e-9, d, np.inf)
+        if d.shape[1] > k:  # keep everything tied with the k-th, the final ranking decides
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            d = np.where(d <= edge + 1e-9, d, np.inf)
+        q, b = np.nonzero(np.isfinite(d))
+        return pd.DataFrame({"query_id": qids[q], "id": ids[b], "distance": d[q, b]})
 
     return join
 
@@ -246,59 +239,64 @@ def nearest(
     multiplies two bounded matrices however large a cell is.
     """
     by = list(by)
+    spark = base.sparkSession
     total = base.count()
     n_cells = max(1, min(MAX_CELLS, math.isqrt(total) // 4))
     # Bounded: at most MAX_CELLS vectors reach the driver.
     pivot_rows = base.orderBy(F.md5(F.concat_ws("|", *by, "id")), "id").limit(n_cells).select("vector").collect()
     if not pivot_rows:
-        return base.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int")
+        return spark.createDataFrame([], "query_id string, id string, distance double, rank int")
     pivots = np.array([r["vector"] for r in pivot_rows], dtype=np.float64)
     assign = _nearest_cell(pivots)
 
-    placed = base.select("id", *by, "vector", assign("vector").alias("_c")).select(
-        "id", *by, "vector", F.col("_c.cell").alias("cell"), F.col("_c.dist").alias("_dist")
+    # Scanned several times below: place every row once.
+    placed = cut_lineage(
+        base.select("id", *by, "vector", assign("vector").alias("_c")).select(
+            F.col("id").alias("base_id"), *[F.col(c).alias(f"base_{c}") for c in by], F.col("vector").alias("base_vector"),
+            F.col("_c.cell").alias("base_cell"), F.col("_c.dist").alias("_dist"),
+        )
     )
-    stats = placed.groupBy("cell").agg(F.max("_dist").alias("radius"), F.count(F.lit(1)).alias("size")).collect()
+    stats = placed.groupBy("base_cell").agg(F.max("_dist").alias("radius"), F.count(F.lit(1)).alias("size")).collect()
     radius = np.full(len(pivots), -np.inf)
-    base_blocks = {}
+    block_counts = {}
     for r in stats:  # one row per cell
-        radius[r["cell"]] = r["radius"]
-        base_blocks[r["cell"]] = max(1, -(-r["size"] // BLOCK_ROWS))
-    block_of = F.element_at(F.create_map(*[x for c, m in base_blocks.items() for x in (F.lit(c), F.lit(m))]), F.col("cell"))
-    blocks = placed.withColumn("base_block", F.pmod(F.xxhash64("id"), block_of)).drop("_dist")
-
-    homed = queries.select("query_id", *by, "vector", assign("vector")["cell"].alias("home"))
-    home_sizes = {r["home"]: r["n"] for r in homed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
-    query_blocks = {h: max(1, -(-n // BLOCK_ROWS)) for h, n in home_sizes.items()}
-    if not query_blocks:
-        return base.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int")
-    q_block = F.element_at(
-        F.create_map(*[x for h, m in query_blocks.items() for x in (F.lit(h), F.lit(m))]), F.col("home")
+        radius[r["base_cell"]] = r["radius"]
+        block_counts[r["base_cell"]] = max(1, -(-r["size"] // BLOCK_ROWS))
+    homed = cut_lineage(
+        queries.select("query_id", *by, F.col("vector").alias("query_vector"), assign("vector")["cell"].alias("home"))
     )
-    homed = homed.withColumn("query_block", F.pmod(F.xxhash64("query_id"), q_block))
-
-    def search(bounded: DataFrame, keep_max: bool) -> DataFrame:
-        targets = bounded.withColumn("cell", F.explode("cells")).drop("cells")
-        splits = block_of
-        visits = targets.where(F.col("cell").isin(list(base_blocks))).withColumn(
-            "base_block", F.explode(F.sequence(F.lit(0), (splits - 1).cast("long")))
-        )
-        keys = [*by, "cell", "base_block", "home", "query_block"]
-        renamed = {c: f"w_{c}" for c in keys}
-        wanted = visits.select(*keys).distinct().withColumnsRenamed(renamed)
+    home_sizes = {r["home"]: r["n"] for r in homed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not home_sizes:
+        return spark.createDataFrame([], "query_id string, id string, distance double, rank int")
+    query_counts = {h: max(1, -(-n // BLOCK_ROWS)) for h, n in home_sizes.items()}
+
+    def lookup(table: dict, key: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col(key))
+
+    blocks = placed.withColumn("base_block", F.pmod(F.xxhash64("base_id"), lookup(block_counts, "base_cell"))).drop("_dist")
+    homed = homed.withColumn("query_block", F.pmod(F.xxhash64("query_id"), lookup(query_counts, "home")))
+    keys = [*by, "cell", "block", "home", "query_block"]
+    base_keys = [*[f"base_{c}" for c in by], "base_cell", "base_block"]
+
+    def search(bounded: DataFrame) -> DataFrame:
+        targets = bounded.withColumn("cell", F.explode("cells")).where(F.col("cell").isin(list(block_counts)))
+        visits = targets.withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), lookup(block_counts, "cell").cast("long") - 1))
+        ).select(*keys, "query_id", "query_vector", "bound")
+        wanted = visits.select(*keys).distinct().select(*[F.col(c).alias(f"w_{c}") for c in keys])
         copies = blocks.join(
-            wanted, [F.col(c) == F.col(renamed[c]) for c in [*by, "cell", "base_block"]]
-        ).select("id", "vector", *renamed.values())
+            wanted, [F.col(b) == F.col(f"w_{w}") for b, w in zip(base_keys, [*by, "cell", "block"])]
+        ).select("base_id", "base_vector", *[f"w_{c}" for c in keys])
         return (
             visits.groupBy(*keys)
-            .cogroup(copies.groupBy(*renamed.values()))
-            .applyInPandas(_block_join(k, same, keep_max), "query_id string, id string, distance double")
+            .cogroup(copies.groupBy(*[f"w_{c}" for c in keys]))
+            .applyInPandas(_block_join(k, same), "query_id string, id string, distance double")
         )
 
+    order = W.partitionBy("query_id").orderBy("distance", "id")
     if max_distance is None:
         # The k-th distance within the home cell bounds the search elsewhere.
-        local = search(homed.withColumns({"cells": F.array("home"), "bound": F.lit(0.0)}), False)
-        order = W.partitionBy("query_id").orderBy("distance", "id")
+        local = search(homed.withColumns({"cells": F.array("home"), "bound": F.lit(1e300)}))
         kth = (
             local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .groupBy("query_id").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_found"))
@@ -308,8 +306,7 @@ def nearest(
     else:
         bounded = homed.withColumn("bound", F.lit(float(max_distance)))
     reach = _reachable_cells(pivots, radius)
-    found = search(bounded.withColumn("cells", reach("vector", "bound")), True)
-    order = W.partitionBy("query_id").orderBy("distance", "id")
+    found = search(bounded.withColumn("cells", reach("query_vector", "bound")))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

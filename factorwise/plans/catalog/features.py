@@ -7,6 +7,7 @@ from factorwise.plans import views as v
 from factorwise.plans.catalog import Catalog
 from factorwise.plans.catalog.dashboard import ASOF
 from factorwise.plans.catalog.graph import _CASCADE, _RINGS, findings
+from factorwise.plans.materialise import stage_table
 
 catalog = Catalog()
 NUMERIC = ["amount", "order_item_total", "profit", "discount_rate", "quantity", "unit_price", "scheduled_ship_days", "actual_ship_days"]
@@ -142,10 +143,10 @@ def _(spark, sf):
 
 @catalog.add(
     "clean_nonfinite",
-    "select row_id, round(coalesce(profit, 0), 4) as profit, case when discount_rate = 0 then 0 else round(amount / discount_rate, 2) end as ratio from rows_",
+    "select row_id, round(coalesce(profit, 0), 4) as profit, case when discount_rate = 0 then 0 else round(amount / discount_rate, 6) end as ratio from rows_",
 )
 def _(spark, sf):
-    ratio = F.when(F.col("discount_rate") == 0, F.lit(float("inf"))).otherwise(F.round(F.try_divide("amount", "discount_rate"), 2))
+    ratio = F.when(F.col("discount_rate") == 0, F.lit(float("inf"))).otherwise(F.round(F.try_divide("amount", "discount_rate"), 6))
     rows = v.order_rows(spark, sf).select("row_id", F.round("profit", 4).alias("profit"), ratio.alias("ratio"))
     return features.clean_nonfinite(rows, ["profit", "ratio"])
 
@@ -273,16 +274,24 @@ def _(spark, sf):
     return sampling.weighted_resample(v.order_rows(spark, sf).select("row_id", "label", "amount"), key="row_id")
 
 
+def training_rows(spark, sf):
+    """Imputed, scaled and split order rows, written once and read by every learner."""
+
+    def build():
+        rows = features.median_impute(v.order_rows(spark, sf), NUMERIC)
+        split = sampling.stratified_split(
+            rows.select("row_id", "label", *NUMERIC), key="row_id", fractions={"train": 0.70, "val": 0.15, "test": 0.15}
+        )
+        return features.standard_scale(split.where("split = 'train'"), split, NUMERIC)
+
+    return stage_table(spark, "training_rows", sf, build)
+
+
 @catalog.add("training_pairs")
 def _(spark, sf):
-    rows = features.median_impute(v.order_rows(spark, sf), NUMERIC)
-    scaled = features.standard_scale(rows, rows, NUMERIC)
-    return sampling.training_pairs(scaled, key="row_id", features=NUMERIC)
+    return sampling.training_pairs(training_rows(spark, sf).where("split = 'train'"), key="row_id", features=NUMERIC)
 
 
 @catalog.add("minority_oversample")
 def _(spark, sf):
-    rows = features.median_impute(v.order_rows(spark, sf), NUMERIC)
-    scaled = features.standard_scale(rows, rows, NUMERIC)
-    split = sampling.stratified_split(scaled, key="row_id", fractions={"train": 0.70, "val": 0.15, "test": 0.15})
-    return sampling.minority_oversample(split.where("split = 'train'"), key="row_id", features=NUMERIC)
+    return sampling.minority_oversample(training_rows(spark, sf).where("split = 'train'"), key="row_id", features=NUMERIC)

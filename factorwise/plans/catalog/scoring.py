@@ -23,7 +23,7 @@ _SIGNALS = """
 signal as (select invoice_id, fraud_score as dnn, round(duplicate_risk_score * 0.5e0, 6) as isolation_forest, 0e0 as siamese,
   0e0 as graph_carousel, 0e0 as graph_cascade, round(least(anomaly_count / 5e0, 1e0), 6) as match_anomaly from scored),
 ens as (select *, round(least(0e0 + dnn * 0.3e0 + isolation_forest * 0.15e0 + siamese * 0.2e0 + graph_carousel * 0.15e0 + graph_cascade * 0.1e0
-  + match_anomaly * 0.1e0, 1e0), 6) as value from signal)"""
+  + match_anomaly * 0.1e0, 1e0), 9) as value from signal)"""
 W = "with " + _SIGNALS.strip()
 
 
@@ -45,7 +45,7 @@ def _(spark, sf):
 @catalog.add(
     "ensemble_score_5",
     W + """ select invoice_id, round(least(0e0 + dnn * 0.35e0 + isolation_forest * 0.2e0 + siamese * 0.2e0 + graph_carousel * 0.15e0
-  + graph_cascade * 0.1e0, 1e0), 6) as value from signal""",
+  + graph_cascade * 0.1e0, 1e0), 9) as value from signal""",
 )
 def _(spark, sf):
     return scoring.ensemble_score(plain_signals(spark, sf), weights=scoring.ENSEMBLE_WEIGHTS_5)
