@@ -71,8 +71,9 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def percent(col: Column, digits: int) -> Column:
-    """``12.3%`` style text."""
-    return F.format_string(f"%.{digits}f%%", col * 100.0)
+    """``12.3%`` style text, rounded half-up in decimal."""
+    scaled = F.round(col.cast("decimal(18,6)") * F.lit(100), digits)
+    return F.concat(scaled.cast(f"decimal(20,{digits})").cast("string"), F.lit("%"))
 
 
 def money_text(col: Column) -> Column:
