@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -36,32 +38,45 @@ def header_key(name: str) -> str:
     return "_".join(lowered.split())
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = pd.DataFrame({"a": a, "b": b})
-    known = pairs.dropna().drop_duplicates()
-    known["r"] = [SequenceMatcher(None, x, y).ratio() for x, y in zip(known["a"], known["b"])]
-    return pairs.merge(known, on=["a", "b"], how="left")["r"].astype("float64")
+FIELD, PAIR = "\x1f", "\x1e"
 
 
-def name_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two cleaned names, 0 when either is empty.
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _sequence_ratios(texts: pd.Series) -> pd.Series:
+    """Ratios of the pairs packed into each text; every distinct text of a batch is worked once."""
+
+    def ratios(text: str) -> list:
+        halves = [p.split(FIELD) for p in text.split(PAIR)]
+        return [SequenceMatcher(None, *h).ratio() if len(h) == 2 else None for h in halves]
+
+    known = {t: ratios(t) for t in texts.dropna().unique()}
+    return pd.Series([known.get(t) for t in texts], dtype=object)
+
+
+def name_ratios(pairs: Sequence[tuple[Column, Column]]) -> list[Column]:
+    """Ratcliff-Obershelp similarity of pairs of names after cleaning, 0 when one is empty.
 
     Equal names and names where one contains the other have a closed form and
-    stay in the JVM; only the remaining pairs are handed to Python, each
-    distinct pair of a batch once. (From 200 characters on the matcher ignores
-    very frequent characters, so the closed form is limited to shorter names.)
+    stay in the JVM. What is left of a row's pairs goes to Python as one packed
+    text, which is null for nearly all rows. (From 200 characters on the matcher
+    ignores very frequent characters, so the closed form ends there.)
     """
-    left, right = clean(a), clean(b)
-    n, m = F.length(left), F.length(right)
-    shared = F.least(n, m) * 2.0 / (n + m)
-    closed = (left == right) | ((m < 200) & (n < 200) & (F.contains(left, right) | F.contains(right, left)))
-    hard = (n > 0) & (m > 0) & ~closed
-    return (
-        F.when((n == 0) | (m == 0), F.lit(0.0))
-        .when(closed, shared)
-        .otherwise(_sequence_ratio(F.when(hard, left), F.when(hard, right)))
-    )
+    parts, closed_forms, hard_flags = [], [], []
+    for a, b in pairs:
+        left, right = clean(a), clean(b)
+        n, m = F.length(left), F.length(right)
+        closed = (left == right) | ((m < 200) & (n < 200) & (F.contains(left, right) | F.contains(right, left)))
+        hard = (n > 0) & (m > 0) & ~closed
+        hard_flags.append(hard)
+        parts.append(F.when(hard, F.concat(left, F.lit(FIELD), right)).otherwise(F.lit("")))
+        closed_forms.append(F.when((n == 0) | (m == 0), F.lit(0.0)).when(closed, F.least(n, m) * 2.0 / (n + m)))
+    packed = F.when(reduce(Column.__or__, hard_flags), F.concat_ws(PAIR, *parts))
+    worked = _sequence_ratios(packed)
+    return [F.coalesce(c, F.get(worked, F.lit(i))) for i, c in enumerate(closed_forms)]
+
+
+def name_ratio(a: Column, b: Column) -> Column:
+    return name_ratios([(a, b)])[0]
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

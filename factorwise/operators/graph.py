@@ -219,15 +219,14 @@ def cascade_trace(
         .where(F.col("_r") <= keep)
         .select(slice_col, "source", "invoice_date", "invoice_id", "amount")
     )
-    # Root days a listed invoice can serve.
+    # A source has at most seven root days and keep ids per day in a slice, so this join stays narrow.
     root_days = roots.select(slice_col, F.col("company").alias("source"), F.col("invoice_date").alias("root_date")).distinct()
-    served = by_source.withColumn(
-        "root_date", F.explode(F.sequence(F.date_add("invoice_date", -days), F.date_add("invoice_date", 1)))
-    )
     keys = [slice_col, "source", "root_date"]
+    in_window = F.col("invoice_date").between(F.date_sub("root_date", 1), F.date_add("root_date", days))
     window = W.partitionBy(*keys).orderBy("invoice_date", "invoice_id")
     lists = (
-        served.join(root_days, keys, "left_semi")
+        by_source.join(root_days, [slice_col, "source"])
+        .where(in_window)
         .withColumn("_r", F.row_number().over(window))
         .where(F.col("_r") <= keep)
         .groupBy(*keys)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factorwise.functions.text import clean, levenshtein_similarity, name_ratio
+from factorwise.functions.text import clean, levenshtein_similarity, name_ratio, name_ratios
 
 AMOUNT_TOLERANCE = 0.02
 QUANTITY_TOLERANCE = 0.05
@@ -140,14 +140,9 @@ def match_details(joined: DataFrame) -> DataFrame:
     """po_score, grn_score and the ordered anomaly list of every joined invoice."""
     if "po_currency" not in joined.columns:
         joined = joined.withColumn("po_currency", F.lit(None).cast("string"))
-    rated = joined.withColumns(
-        {
-            "_po_supplier": name_ratio(F.col("supplier_name"), F.col("po_supplier_name")),
-            "_po_buyer": name_ratio(F.col("buyer_name"), F.col("po_buyer_name")),
-            "_grn_supplier": name_ratio(F.col("supplier_name"), F.col("grn_supplier_name")),
-            "_grn_buyer": name_ratio(F.col("buyer_name"), F.col("grn_buyer_name")),
-        }
-    )
+    sides = [(doc, role) for doc in ("po", "grn") for role in ("supplier", "buyer")]
+    ratios = name_ratios([(F.col(f"{role}_name"), F.col(f"{doc}_{role}_name")) for doc, role in sides])
+    rated = joined.withColumns({f"_{doc}_{role}": r for (doc, role), r in zip(sides, ratios)})
     po, grn = _po_checks(), _grn_checks()
     empty = F.array().cast("array<string>")
     anomalies = F.concat(

@@ -201,8 +201,14 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    tokens = dedup.invoice_tokens(invoices(spark, sf, items=True))
-    return similarity.token_sets(tokens)
+    """Distinct token sets and the set of each invoice; read by every near-duplicate step, so written once."""
+
+    def tokens() -> DataFrame:
+        return dedup.invoice_tokens(invoices(spark, sf, items=True))
+
+    staged = stage_table(spark, "tokens", sf, tokens)
+    sets, members = similarity.token_sets(staged)
+    return stage_table(spark, "token_sets", sf, lambda: sets), members
 
 
 def set_pairs(spark: SparkSession, sf: str) -> DataFrame:
