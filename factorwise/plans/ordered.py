@@ -87,16 +87,20 @@ def running_totals(
     bucket table has at most WIDTH_BUCKETS rows per group. Groups are columns,
     labels or similar few things, so that table is broadcast.
     """
-    keys = list(group) or ["_all"]
-    rows = df if group else df.withColumn("_all", F.lit(1))
-    bounds = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    keys = list(group)
+    if keys:
+        bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        rows = df.join(F.broadcast(bounds), keys)
+    else:
+        range_ = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r")).scalar()
+        rows = df.withColumns({"_lo": range_["lo"], "_hi": range_["hi"]})
     share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     bucket = F.when(
         F.col("_hi") > F.col("_lo"), F.least(F.floor(share * WIDTH_BUCKETS), F.lit(WIDTH_BUCKETS - 1))
     ).otherwise(F.lit(0))
     if descending:
         bucket = F.lit(WIDTH_BUCKETS) - bucket
-    cut = rows.join(F.broadcast(bounds), keys).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    cut = rows.withColumn("_bucket", bucket).drop("_lo", "_hi")
 
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures]).select(
@@ -118,11 +122,11 @@ def exact_quantiles(df: DataFrame, *, value: str, probs: Sequence[float], group:
     holds a column's values (the built-in exact percentile keeps them all in
     one aggregation buffer).
     """
-    keys = list(group) or ["_all"]
-    rows = (df if group else df.withColumn("_all", F.lit(1))).where(F.col(value).isNotNull())
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    keys = list(group)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    upto = running_totals(counts, value=value, measures=["_n"], group=keys).join(F.broadcast(totals), keys)
+    upto = running_totals(counts, value=value, measures=["_n"], group=keys)
+    upto = upto.join(F.broadcast(totals), keys) if keys else upto.withColumn("_total", totals.scalar())
     picks, outs = [], []
     for i, p in enumerate(probs):
         rank = (F.col("_total") - 1) * F.lit(float(p))
