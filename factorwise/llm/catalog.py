@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from factorwise.llm import exact_dedup, sharding
+from factorwise.llm import exact_dedup, langid, sharding, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_language_id": langid.op3_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
