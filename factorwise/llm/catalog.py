@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from factorwise.llm import exact_dedup, langid, sharding, simhash
+from factorwise.llm import decontam, exact_dedup, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op3_language_id": langid.op3_language_id,
+    "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }

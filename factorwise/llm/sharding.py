@@ -14,15 +14,7 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from factorwise.llm.common import cut, fresh, table, unit_slice
-
-
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]):
-    cond = None
-    for c in names:
-        one = left[c].eqNullSafe(right[c])
-        cond = one if cond is None else cond & one
-    return cond
+from factorwise.llm.common import attach, cut, fresh, offsets, table, with_content
 
 
 def assign_shards(rows: DataFrame, *, key: str = "doc_id", source: str = "source", n_shards: int = 16, seed: int = 17) -> DataFrame:
@@ -39,30 +31,23 @@ def assign_shards(rows: DataFrame, *, key: str = "doc_id", source: str = "source
     if n == 0:
         return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     slices = 4 * math.isqrt(n) + 4
-    h, cell, before, total, rank, part, frac = (fresh(rows, x) for x in ("h", "cell", "before", "total", "rank", "part", "frac"))
-    hashed = rows.withColumn(h, F.xxhash64(F.lit(seed), F.col(key))).withColumn(cell, unit_slice(F.col(h), slices))
-    by_source = W.partitionBy(source)
-    totals = (
-        hashed.groupBy(source, cell)
-        .agg(F.count(F.lit(1)).alias(before))
-        .withColumn(total, F.sum(before).over(by_source))
-        .withColumn(before, F.sum(before).over(by_source.orderBy(cell)) - F.col(before))
-    )
-    joined = hashed.join(totals, _null_safe(hashed, totals, [source, cell]), "inner").drop(totals[source]).drop(totals[cell])
-    rest = [F.col(c) for c in kept]
+    h, rank, part, frac, start, cell = (fresh(rows, x) for x in ("h", "rank", "part", "frac", "start", "slice"))
+    hashed = rows.withColumn(h, F.xxhash64(F.lit(seed), F.col(key)))
+    placed, before, total = offsets(hashed, source, h, F.lit(1).cast("long"), n, kept)
+    twice = 2 * F.col(before) + 1  # 2 * rank - 1
     ranked = cut(
-        joined.withColumn(rank, F.col(before) + F.row_number().over(W.partitionBy(source, cell).orderBy(h, *rest)))
-        .withColumn(frac, (2 * F.col(rank) - 1) / (2 * F.col(total)))
-        .withColumn(part, F.floor((2 * F.col(rank) - 1) * slices / (2 * F.col(total))).cast("long"))
-        .drop(cell, before)
-    )
-    sizes = ranked.groupBy(part).agg(F.count(F.lit(1)).alias(before))
-    starts = sizes.select(F.col(part).alias(cell), (F.sum(before).over(W.orderBy(part)) - F.col(before)).alias(before))
-    placed = ranked.join(starts, F.col(part) == F.col(cell)).withColumn(
-        total, F.col(before) + F.row_number().over(W.partitionBy(part).orderBy(frac, source, rank)) - 1
+        placed.withColumns({rank: F.col(before), frac: twice / (2 * F.col(total))})
+        .withColumn(part, F.floor(twice * slices / (2 * F.col(total))).cast("long"))
+        .drop(before, total)
     )
-    return placed.withColumn("shard", F.expr(f"cast(`{total}` * {n_shards} div {n} as int)")).select(
-        *kept, "shard", F.expr(f"`{total}` - (shard * {n}L + {n_shards - 1}) div {n_shards}").alias("slot")
+    sizes = ranked.groupBy(part).agg(F.count(F.lit(1)).alias(start))
+    starts = sizes.select(F.col(part).alias(cell), (F.sum(start).over(W.orderBy(part)) - F.col(start)).alias(start))
+    position = F.row_number().over(W.partitionBy(part).orderBy(frac, source, rank)) - 1 + F.col(start)
+    return (
+        ranked.join(starts, F.col(part) == F.col(cell))
+        .withColumn(start, position)
+        .withColumn("shard", F.expr(f"cast(`{start}` * {n_shards} div {n} as int)"))
+        .select(*kept, "shard", F.expr(f"`{start}` - (shard * {n}L + {n_shards - 1}) div {n_shards}").alias("slot"))
     )
 
 
@@ -71,15 +56,9 @@ def shard_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "sour
 
     Rows that agree in every column are interchangeable; they are numbered and take their slots in that order.
     """
-    docs = docs.drop("shard", "slot")
-    content, copy = fresh(docs, "content"), fresh(docs, "copy")
-    hashed = docs.withColumn(content, F.xxhash64(*docs.columns))
-    numbered = W.partitionBy(key, content).orderBy(F.lit(0))
-    plan = assign_shards(hashed.select(key, source, content), key=key, source=source, n_shards=n_shards, seed=seed)
-    plan = plan.withColumn(copy, F.row_number().over(W.partitionBy(key, content).orderBy("shard", "slot"))).drop(source)
-    hashed = hashed.withColumn(copy, F.row_number().over(numbered))
-    joined = hashed.join(plan, _null_safe(hashed, plan, [key, content, copy]))
-    return joined.select(*(hashed[c] for c in docs.columns), "shard", "slot")
+    docs, content = with_content(docs.drop("shard", "slot"))
+    plan = assign_shards(docs.select(key, source, content), key=key, source=source, n_shards=n_shards, seed=seed).drop(source)
+    return attach(docs, plan, key, content, ["shard", "slot"])
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

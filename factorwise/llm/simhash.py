@@ -20,9 +20,9 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from factorwise.llm.common import cut, table
+from factorwise.llm.common import cut, fresh, table
 from factorwise.llm.components import components
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -259,5 +259,17 @@ def near_duplicates(
     )
 
 
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each near-duplicate group, the one with the least key; all columns unchanged.
+
+    Rows that repeat the kept key count as one. Groups without any key cannot be told apart and stay.
+    """
+    ids = near_duplicates(docs.select(key, text), key=key, text=text, **options).select(F.col("component_id")).distinct()
+    first = fresh(docs, "first")
+    kept = docs.join(ids, docs[key] == ids["component_id"], "left_semi")
+    one = kept.withColumn(first, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns))))
+    return one.filter(f"`{first}` = 1").drop(first).union(docs.filter(F.col(key).isNull()))
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
