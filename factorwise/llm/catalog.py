@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorwise.llm import decontam, exact_dedup, langid, mixing, sharding, simhash
+from factorwise.llm import decontam, exact_dedup, langid, mixing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_sharding": sharding.op10_sharding,
 }
 SQL = {
