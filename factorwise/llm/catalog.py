@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorwise.llm import decontam, exact_dedup, langid, mixing, secrets, sharding, simhash, suffix_dedup, urlfilter
+from factorwise.llm import chaining, decontam, exact_dedup, langid, mixing, secrets, sharding, simhash, suffix_dedup, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_url_filter": urlfilter.op4_url_filter,
     "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
+    "op6_collinear_chaining": chaining.op6_collinear_chaining,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
