@@ -108,9 +108,13 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", per_lang: i
     freq[list(seen)] = list(seen.values())
     idf = (np.log((1 + docs) / (1 + freq)) + 1).astype(np.float32)
 
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = MODEL_BYTES // (clusters * BUCKETS * 4)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError("more languages than the model's bound allows; lower clusters or raise MODEL_BYTES")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, 2.0 * per_lang / r.n)])
     h = F.xxhash64(F.lit(seed), "body")
-    drawn = rows.withColumn("h", F.shiftrightunsigned(h, 11) / float(1 << 53)).join(sizes, "lang").filter(F.col("h") * F.col("n") < 2 * per_lang)
+    drawn = rows.withColumn("h", F.shiftrightunsigned(h, 11) / float(1 << 53)).filter(F.col("h") < share[F.col("lang")])
     sample = drawn.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "body"))).filter(F.col("r") <= per_lang)
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,8 +122,6 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", per_lang: i
         found = cluster(vectors(counts, idf), clusters) if counts else np.zeros((0, BUCKETS), np.float32)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": [c.tobytes() for c in found]})
 
-    if sizes.count() * clusters * BUCKETS * 4 > MODEL_BYTES:
-        raise ValueError("more languages than the model's bound allows; lower clusters or raise MODEL_BYTES")
     found = sorted((r.lang, bytes(r.centre)) for r in sample.select("lang", "body").groupBy("lang").applyInPandas(centres, "lang string, centre binary").collect())
     if not found:
         return None
