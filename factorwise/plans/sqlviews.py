@@ -99,20 +99,28 @@ select invoice_id, md5(array_to_string(tokens, chr(31))) as set_id, tokens from
 VIEWS["sets"] = """
 select set_id, any_value(tokens) as tokens, count(*) as members, len(any_value(tokens)) as n from member group by 1"""
 
-VIEWS["pref"] = """
-select set_id, n, token from (
-  select set_id, n, token, row_number() over (partition by set_id order by df, token) as pos
-  from (select set_id, n, unnest(tokens) as token from sets)
-  join (select token, count(*) as df from (select unnest(tokens) as token from sets) group by 1) using (token)
-) where pos <= n - ceil(0.7 * n - 1e-9) + 1"""
+VIEWS["tok_ids"] = """
+select token, row_number() over (order by df, token) as tid
+from (select token, count(*) as df from (select unnest(tokens) as token from sets) group by 1)"""
 
+VIEWS["int_sets"] = """
+select set_id, any_value(members) as members, any_value(n) as n, list_sort(list(tid)) as ids
+from (select set_id, members, n, unnest(tokens) as token from sets) join tok_ids using (token) group by 1"""
+
+VIEWS["probes"] = """
+select set_id, n, unnest(ids[1:k]) as tid, unnest(range(1, k + 1)) as pos
+from (select *, cast(n - ceil(0.7 * n - 1e-9) + 1 as bigint) as k from int_sets)"""
+
+# rarest tokens first: the smaller set's first tokens meet the larger set's, where the rest of both can still hold the overlap
 VIEWS["pairs"] = """
 select set_a, set_b, jaccard, members_a, members_b from (
-  select c.set_a, c.set_b, a.members as members_a, b.members as members_b,
-    len(list_intersect(a.tokens, b.tokens)) / (a.n + b.n - len(list_intersect(a.tokens, b.tokens)))::double as jaccard
-  from (select distinct p.set_id as set_a, r.set_id as set_b from pref p join pref r on p.token = r.token and p.set_id < r.set_id
-        where least(p.n, r.n) >= 0.7 * greatest(p.n, r.n) - 1e-9) c
-  join sets a on a.set_id = c.set_a join sets b on b.set_id = c.set_b
+  select c.set_a, c.set_b, a.members as members_a, b.members as members_b, len(list_intersect(a.ids, b.ids)) as o,
+    o / (a.n + b.n - o)::double as jaccard
+  from (select distinct least(p.set_id, r.set_id) as set_a, greatest(p.set_id, r.set_id) as set_b
+        from probes p join probes r on p.tid = r.tid and p.set_id <> r.set_id and p.n <= r.n and p.n >= 0.7 * r.n - 1e-9
+          and p.pos <= p.n - ceil(1.4 / 1.7 * p.n - 1e-9) + 1
+          and least(p.n - p.pos, r.n - r.pos) + 1 >= ceil(0.7 / 1.7 * (p.n + r.n) - 1e-9)) c
+  join int_sets a on a.set_id = c.set_a join int_sets b on b.set_id = c.set_b
 ) where jaccard >= 0.7"""
 
 VIEWS["nearrank"] = """
