@@ -53,8 +53,8 @@ def primary_signal(patterns: Column) -> Column:
     return F.coalesce(F.get(patterns, F.lit(0)), F.lit(UNKNOWN_SIGNAL))
 
 
-def case_numbers(cases: DataFrame) -> DataFrame:
-    """``SCF-<year>-<6 digits>``, numbered per year by creation date.
+def case_numbers(cases: DataFrame, *, stored: DataFrame | None = None) -> DataFrame:
+    """``SCF-<year>-<6 digits>``, numbered per year by creation date, after the highest number ``stored`` has for the year.
 
     A year is far too large for one window partition: numbers are counted per
     day and key slice and then offset.
@@ -63,13 +63,18 @@ def case_numbers(cases: DataFrame) -> DataFrame:
         {"_year": F.year("created_at"), "_day": F.to_date("created_at"), "_hash": hash_slice("invoice_id")}
     )
     numbered = number_rows(keyed, group=["_year"], split=["_day", "_hash"], order=["invoice_id"])
+    taken = F.lit(0)
+    if stored is not None:
+        parts = F.split("case_number", "-")
+        highest = stored.select(parts[1].cast("int").alias("_year"), parts[2].cast("long").alias("_n")).groupBy("_year").agg(F.max("_n").alias("_taken"))
+        numbered, taken = numbered.join(highest, "_year", "left"), F.coalesce("_taken", F.lit(0))
     return numbered.withColumn(
-        "case_number", F.format_string("SCF-%d-%06d", F.col("_year"), F.col("position"))
-    ).drop("_year", "_day", "_hash", "position")
+        "case_number", F.format_string("SCF-%d-%06d", F.col("_year"), F.col("position") + taken)
+    ).drop("_year", "_day", "_hash", "position", "_taken")
 
 
-def open_cases(scored: DataFrame, *, narrative: Column | None = None) -> DataFrame:
-    """Case rows of scored invoices; one per invoice."""
+def open_cases(scored: DataFrame, *, narrative: Column | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Case rows of scored invoices; one per invoice, numbered after ``stored`` cases."""
     rows = scored.select(
         F.sha2(F.concat(F.lit("case|"), "invoice_id"), 256).alias("case_id"),
         "invoice_id",
@@ -86,11 +91,16 @@ def open_cases(scored: DataFrame, *, narrative: Column | None = None) -> DataFra
         F.lit(None).cast("string").alias("analyst_decision"),
         F.lit(None).cast("string").alias("analyst_notes"),
     )
-    return case_numbers(rows)
+    return case_numbers(rows, stored=stored)
 
 
 def upsert_cases(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """One case per invoice: new results win, id, number and analyst fields of a known case stay."""
+    """One case per invoice: new results win, id, number and analyst fields of a known case stay.
+
+    Invoices without a case yet are numbered after the highest stored number of their year.
+    """
+    unseen = case_numbers(new.drop("case_number").join(existing.select("invoice_id"), "invoice_id", "left_anti"), stored=existing)
+    new = new.drop("case_number").join(unseen.select("invoice_id", "case_number"), "invoice_id", "left")
     kept = ["case_id", "case_number", "created_at"]
     analyst = ["analyst_decision", "analyst_notes"]
     old = existing.select("invoice_id", *[F.col(c).alias(f"_old_{c}") for c in existing.columns if c != "invoice_id"])
@@ -109,9 +119,15 @@ def upsert_cases(existing: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
-def analyst_updates(cases: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(updated cases, unknown case ids). updates: case_id, decision, notes; null notes keep the old ones."""
-    u = updates.select("case_id", F.col("decision").alias("_d"), F.col("notes").alias("_n"))
+def analyst_updates(cases: DataFrame, updates: DataFrame, *, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(updated cases, unknown case ids). updates: case_id, decision, notes; null notes keep the old ones.
+
+    Of several updates of a case the latest by column ``at`` counts; without it, or among equals, the last in order
+    of (decision, notes).
+    """
+    order = F.struct(*([at] if at else []), "decision", "notes")
+    latest = updates.groupBy("case_id").agg(F.max(order).alias("_u"))
+    u = latest.select("case_id", F.col("_u.decision").alias("_d"), F.col("_u.notes").alias("_n"))
     updated = (
         cases.join(u, "case_id", "left")
         .withColumns(
@@ -249,12 +265,20 @@ def case_documents(cases: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_case_numbers(cases: DataFrame) -> DataFrame:
-    """``CASE-<INVOICE>``; further cases of the same invoice number get ``-2``, ``-3``, ..."""
+def dedupe_case_numbers(cases: DataFrame, *, stored: DataFrame | None = None) -> DataFrame:
+    """``CASE-<INVOICE>``; further cases of the same invoice number get ``-2``, ``-3``, ...
+
+    ``stored``: invoice_number, case_number of earlier runs, whose numbers are not given again.
+    """
     base = cases.withColumns(
         {"_base": F.concat(F.lit("CASE-"), F.upper("invoice_number")), "_hash": hash_slice("invoice_id")}
     )
     numbered = number_rows(base, group=["_base"], split=["_hash"], order=["invoice_id"])
+    if stored is not None:
+        named = stored.select(F.concat(F.lit("CASE-"), F.upper("invoice_number")).alias("_base"), "case_number")
+        suffix = F.coalesce(F.expr("try_cast(substr(case_number, length(_base) + 2) as bigint)"), F.lit(1))
+        highest = named.groupBy("_base").agg(F.max(suffix).alias("_taken"))
+        numbered = numbered.join(highest, "_base", "left").withColumn("position", F.col("position") + F.coalesce("_taken", F.lit(0)))
     number = F.when(F.col("position") > 1, F.concat_ws("-", "_base", "position")).otherwise(F.col("_base"))
     return numbered.select("invoice_id", number.alias("case_number"))
 

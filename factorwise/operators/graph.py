@@ -135,7 +135,7 @@ def carousel_rings(edges: DataFrame, *, max_len: int = 6, slices: Sequence[str]
         a = forward[(length + 1) // 2 - 1]
         b = backward[length // 2 - 1].select(*slices, "start", "mid", F.col("path").alias("tail"))
         # Both halves end in ``mid``; the tail's inner nodes are everything before it.
-        inner = F.reverse(F.slice("tail", 1, length // 2 - 1)) if length // 2 > 1 else F.array().cast("array<bigint>")
+        inner = F.reverse(F.slice("tail", 1, length // 2 - 1))
         met = a.join(b, [*slices, "start", "mid"]).withColumn("_inner", inner)
         met = met.where(~F.arrays_overlap("path", "_inner"))
         rings.append(
@@ -251,7 +251,8 @@ def ego_network(
 ) -> DataFrame:
     """Members of each centre's undirected neighbourhood: [slices], center_id, node_id, hop (0 = centre)."""
     slices = list(slices)
-    depth = max(1, min(depth, 3))
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
     both = edges.select(*slices, "src", "dst").unionByName(edges.select(*slices, F.col("dst").alias("src"), F.col("src").alias("dst")))
     near = reachability(both, sources=centers, max_hops=depth, slices=slices).where(F.col("source") != F.col("node"))
     starts = both.select(*slices, F.col("src").alias("source")).distinct()

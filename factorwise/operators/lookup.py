@@ -30,10 +30,13 @@ def enrich_names(inv: DataFrame, ent: DataFrame) -> DataFrame:
 
 def list_invoices(
     inv: DataFrame, ent: DataFrame, *, status: str | None = None, decision: str | None = None, lender: str | None = None,
-    date_from: dt.date | None = None, date_to: dt.date | None = None, limit: int = 200,
+    date_from: dt.date | None = None, date_to: dt.date | None = None, after: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """First page of invoices under optional filters, in id order; names are joined to the page only."""
-    rows = inv
+    """Invoices under optional filters, in id order; names are joined to the page only.
+
+    ``limit`` makes it a page; ``after``, the last id of a page, starts the next one.
+    """
+    rows = inv if after is None else inv.where(F.col("invoice_id") > after)
     for column, value in (("status", status), ("fraud_decision", decision), ("lender_id", lender)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
@@ -44,7 +47,9 @@ def list_invoices(
     page = rows.select(
         "invoice_id", "invoice_number", "supplier_id", "buyer_id", "lender_id", "amount", "invoice_date", "status",
         "fraud_score", "fraud_decision",
-    ).orderBy("invoice_id").limit(limit)
+    )
+    if limit is not None:
+        page = page.orderBy("invoice_id").limit(limit)
     return enrich_names(page, ent).select(
         F.col("invoice_id").alias("id"), "invoice_number", "supplier_name", "buyer_name", "amount", "invoice_date", "status",
         "fraud_score", "fraud_decision",
@@ -53,10 +58,16 @@ def list_invoices(
 
 def list_cases(
     cases: DataFrame, *, decision: str | None = None, severity: str | None = None,
-    date_from: dt.date | None = None, date_to: dt.date | None = None, limit: int = 200,
+    date_from: dt.date | None = None, date_to: dt.date | None = None, after: tuple[dt.datetime, str] | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Newest cases under optional filters; the last day counts in full."""
+    """Newest cases under optional filters; the last day counts in full.
+
+    ``limit`` makes it a page; ``after``, (created_at, case_id) of a page's last row, starts the next one.
+    """
     rows = cases
+    if after is not None:
+        when, last = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
+        rows = rows.where((F.col("created_at") < when) | ((F.col("created_at") == when) & (F.col("case_id") > last)))
     for column, value in (("decision", decision), ("severity", severity)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
@@ -64,7 +75,8 @@ def list_cases(
         rows = rows.where(F.col("created_at") >= F.lit(date_from))
     if date_to is not None:
         rows = rows.where(F.col("created_at") < F.lit(date_to + dt.timedelta(days=1)))
-    return rows.orderBy(F.desc("created_at"), "case_id").limit(limit)
+    ordered = rows.orderBy(F.desc("created_at"), "case_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def cases_by_lender(cases: DataFrame, inv: DataFrame, *, lender_id: str) -> DataFrame:

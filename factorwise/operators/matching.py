@@ -24,9 +24,13 @@ def match_documents(inv: DataFrame, po: DataFrame, grn: DataFrame) -> DataFrame:
     """Each invoice with its purchase order and goods receipt, if any.
 
     Invoices without a document number get a key of their own, so the missing
-    numbers spread over all partitions instead of meeting in one.
+    numbers spread over all partitions instead of meeting in one. Documents that
+    clean to one number count once, the first in the order of their columns.
     """
 
+    def one_each(documents: DataFrame, number: str) -> DataFrame:
+        return documents.groupBy(number).agg(F.min(F.struct(*[c for c in documents.columns if c != number])).alias("_d")).select(number, "_d.*")
+
     def key(number: str) -> Column:
         text = clean(F.col(number))
         return F.when(text == "", F.concat(F.lit("\x00none "), F.col("invoice_id"))).otherwise(text)
@@ -35,8 +39,8 @@ def match_documents(inv: DataFrame, po: DataFrame, grn: DataFrame) -> DataFrame:
     receipts = grn.select(clean(F.col("grn_number")).alias("_grn"), *[F.col(c).alias(f"grn_{c}" if c != "grn_number" else "grn_ref") for c in grn.columns])
     return (
         inv.withColumns({"_po": key("po_number"), "_grn": key("grn_number")})
-        .join(orders, "_po", "left")
-        .join(receipts, "_grn", "left")
+        .join(one_each(orders, "_po"), "_po", "left")
+        .join(one_each(receipts, "_grn"), "_grn", "left")
         .withColumns({"has_po": F.col("po_ref").isNotNull(), "has_grn": F.col("grn_ref").isNotNull()})
         .drop("_po", "_grn")
     )

@@ -151,28 +151,23 @@ def training_pairs(
     )
 
 
-def weighted_resample(df: DataFrame, *, key: str, label: str = "label", seed: int = 42, max_copies: int = 200) -> DataFrame:
+def weighted_resample(df: DataFrame, *, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """About n rows drawn with replacement, positives weighted neg/pos: column ``copy`` numbers the draws.
 
-    Each row is repeated a Poisson number of times (mean = its share of n), read
-    off the inverse distribution with one hash; no global draw is needed.
+    A row whose share of n is m comes floor(m) times and once more with probability m - floor(m), read off one
+    hash: class totals hold at any rate and no global draw is needed. Copies are made in two
+    steps, so a row that comes a million times never builds a list of that length.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     classes = sizes.agg(F.map_from_entries(F.collect_list(F.struct(label, "_n")))).scalar()  # one entry per class
     pos, neg = F.coalesce(F.element_at(classes, 1), F.lit(0)), F.coalesce(F.element_at(classes, 0), F.lit(0))
     weight = F.when(F.col(label) == 1, F.coalesce(F.try_divide(neg, pos), F.lit(1.0))).otherwise(1.0)
     whole = F.when(pos > 0, neg * 2.0).otherwise(neg * 1.0)
-    mean = weight * (pos + neg) / whole
-    start = F.struct(F.exp(-F.col("_mean")).alias("p"), F.exp(-F.col("_mean")).alias("cdf"), F.lit(0).alias("copies"))
-    draw = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.lit(max_copies), (F.ceil("_mean") * 4 + 20).cast("int"))),
-        start,
-        lambda s, i: F.struct(
-            (s["p"] * F.col("_mean") / i).alias("p"),
-            (s["cdf"] + s["p"] * F.col("_mean") / i).alias("cdf"),
-            (s["copies"] + (F.col("_u") >= s["cdf"]).cast("int")).alias("copies"),
-        ),
-        lambda s: s["copies"],
-    )
-    counted = df.withColumns({"_mean": mean, "_u": uniform(F.col(key), F.lit(seed))}).withColumn("_copies", draw)
-    return counted.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_mean", "_u", "_copies")
+    mean = F.coalesce(F.try_divide(weight * (pos + neg), whole), F.lit(1.0))
+    base = F.floor(mean)
+    copies = base + (uniform(F.col(key), F.lit(seed)) < mean - base).cast("long")
+    block = 1024
+    counted = df.withColumn("_copies", copies).where("_copies > 0")
+    blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"), F.lit(block).cast("long"))))
+    upto = F.least(F.col("_copies"), F.col("_from") + block - 1)
+    return blocks.withColumn("copy", F.explode(F.sequence(F.col("_from"), upto))).drop("_copies", "_from")

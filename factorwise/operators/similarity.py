@@ -131,12 +131,12 @@ def minhash_signatures(tokens: DataFrame, *, k: int = 128, seed: int = 7, key: s
 
 
 def lsh_candidates(
-    sets: DataFrame, *, threshold: float = 0.7, bands: int = 16, rows: int = 8, seed: int = 7, hot_bucket: int = 2000
+    sets: DataFrame, *, threshold: float = 0.7, bands: int = 64, rows: int = 7, seed: int = 7, hot_bucket: int = 2000
 ) -> DataFrame:
     """Banded MinHash candidates over distinct sets, verified to Jaccard >= threshold.
 
-    16 bands of 8 rows (128 permutations) find a pair of similarity 0.8 / 0.85 /
-    0.9 with probability 0.95 / 0.99 / 1.00; the tokens all invoices share would
+    64 bands of 7 rows (448 permutations) find a pair at the threshold of 0.7 with
+    probability 0.996 and closer pairs almost surely; the tokens all invoices share would
     flood shorter bands. ``jaccard_pairs`` finds every pair. A bucket of more than
     ``hot_bucket`` sets is not paired up: all its sets go through that exact join
     instead, so nothing is dropped.

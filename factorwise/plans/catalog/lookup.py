@@ -27,7 +27,7 @@ order by s.invoice_id limit 200""",
 )
 def _(spark, sf):
     page = lookup.list_invoices(
-        v.scored_invoices(spark, sf), v.entities(spark, sf), status="pending", decision="REVIEW", lender="L-3", date_from=FROM, date_to=TO
+        v.scored_invoices(spark, sf), v.entities(spark, sf), status="pending", decision="REVIEW", lender="L-3", date_from=FROM, date_to=TO, limit=200
     )
     return _double(page, "amount")
 
@@ -43,7 +43,7 @@ _CASE_COLS = _CASE.split(", ")
 )
 def _(spark, sf):
     return lookup.list_cases(
-        v.fraud_cases(spark, sf), decision="HOLD", severity="critical", date_from=FROM, date_to=TO
+        v.fraud_cases(spark, sf), decision="HOLD", severity="critical", date_from=FROM, date_to=TO, limit=200
     ).select(*_CASE_COLS)
 
 

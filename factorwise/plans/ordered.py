@@ -12,7 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-WIDTH_BUCKETS = 4096
+#: Quantile cut points per group; a power of two.
+CUTS = 1024
 
 
 def hash_slice(col: Column | str, digits: int = 3) -> Column:
@@ -82,25 +83,27 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<measure>_upto``: the sum of each measure over rows at or before this value.
 
-    ``df`` holds one row per (group, value) - aggregate first. Values are cut
-    into equal-width buckets between the group's own minimum and maximum; the
-    bucket table has at most WIDTH_BUCKETS rows per group. Groups are columns,
-    labels or similar few things, so that table is broadcast.
+    ``df`` holds one row per (group, value) - aggregate first. Values are cut at
+    approximate quantiles of their group, so an outlier or a heavy tail does not
+    put the rest into one bucket; the bucket table has at most CUTS rows per group.
     """
     keys = list(group)
+    shares = [i / CUTS for i in range(1, CUTS)]
+    cuts = F.percentile_approx(value, shares, 20 * CUTS).alias("_cuts")
     if keys:
-        bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        rows = df.join(F.broadcast(bounds), keys)
+        rows = df.join(df.groupBy(*keys).agg(cuts), keys)
     else:
-        range_ = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r")).scalar()
-        rows = df.withColumns({"_lo": range_["lo"], "_hi": range_["hi"]})
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bucket = F.when(
-        F.col("_hi") > F.col("_lo"), F.least(F.floor(share * WIDTH_BUCKETS), F.lit(WIDTH_BUCKETS - 1))
-    ).otherwise(F.lit(0))
+        rows = df.withColumn("_cuts", df.agg(cuts).scalar())
+    # binary search for the number of cut points at or below the value
+    steps = F.array(*[F.lit(CUTS >> i) for i in range(1, CUTS.bit_length())])
+    bucket = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: at + F.when(F.coalesce(F.get("_cuts", at + step - 1) <= F.col(value), F.lit(False)), step).otherwise(0),
+    )
     if descending:
-        bucket = F.lit(WIDTH_BUCKETS) - bucket
-    cut = rows.withColumn("_bucket", bucket).drop("_lo", "_hi")
+        bucket = F.lit(CUTS) - bucket
+    cut = rows.withColumn("_bucket", bucket).drop("_cuts")
 
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures]).select(
@@ -108,7 +111,7 @@ def running_totals(
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(offsets), [*keys, "_bucket"])
+    out = cut.join(offsets, [*keys, "_bucket"])
     return out.select(
         *df.columns,
         *[(F.col(f"_{m}_before") + F.sum(m).over(inside)).alias(f"{m}_upto") for m in measures],
@@ -126,7 +129,7 @@ def exact_quantiles(df: DataFrame, *, value: str, probs: Sequence[float], group:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     upto = running_totals(counts, value=value, measures=["_n"], group=keys)
-    upto = upto.join(F.broadcast(totals), keys) if keys else upto.withColumn("_total", totals.scalar())
+    upto = upto.join(totals, keys) if keys else upto.withColumn("_total", totals.scalar())
     picks, outs = [], []
     for i, p in enumerate(probs):
         rank = (F.col("_total") - 1) * F.lit(float(p))

@@ -175,7 +175,7 @@ def test_lsh_pairs_are_exact_pairs(spark, hot_bucket):
     sets, _ = similarity.token_sets(df)
     exact = set(rows(similarity.jaccard_pairs(sets), "set_a", "set_b"))
     found = set(rows(similarity.lsh_candidates(sets, hot_bucket=hot_bucket), "set_a", "set_b"))
-    assert found <= exact and len(found) >= 0.7 * len(exact)
+    assert found <= exact and len(found) >= 0.97 * len(exact)
 
 
 @pytest.mark.parametrize("limit", [None, 1.0])
@@ -360,3 +360,60 @@ def test_chunks_cover_the_text():
     assert all(w in " ".join(chunks) for w in text[:-1500].split())
     assert sum(c.count("y") for c in chunks) >= 1500
     assert retrieval.split_text("short") == ["short"]
+
+
+# ------------------------------------------------------- runs, rare classes, outliers
+
+
+def test_case_numbers_of_two_runs_differ(spark):
+    def scored(ids):
+        df = spark.createDataFrame([(i, 0.9, ["x"], D(2024, 3, 1), "HOLD") for i in ids], "invoice_id string, fraud_score double, fraud_patterns array<string>, invoice_date date, fraud_decision string")
+        return df.withColumns({"invoice_number": F.lit("inv-1"), "amount": F.lit(1.0), "lender_id": F.lit("L")})
+
+    first = cases.open_cases(scored("ab"))
+    both = cases.upsert_cases(first, cases.open_cases(scored("bcd")))
+    numbers = {r.invoice_id: r.case_number for r in both.collect()}
+    assert len(set(numbers.values())) == 4 and {numbers["a"], numbers["b"]} == {"SCF-2024-000001", "SCF-2024-000002"}
+    assert sorted(r.case_number for r in cases.open_cases(scored("z"), stored=both).collect()) == ["SCF-2024-000005"]
+    stored = spark.createDataFrame([("inv-1", "CASE-INV-1"), ("inv-1", "CASE-INV-1-2")], "invoice_number string, case_number string")
+    assert [r.case_number for r in cases.dedupe_case_numbers(scored("q"), stored=stored).collect()] == ["CASE-INV-1-3"]
+
+
+def test_two_updates_of_a_case(spark):
+    base = cases.open_cases(
+        spark.createDataFrame([("a", 0.9, ["x"], D(2024, 1, 1), "HOLD")], "invoice_id string, fraud_score double, fraud_patterns array<string>, invoice_date date, fraud_decision string")
+        .withColumns({"invoice_number": F.col("invoice_id"), "amount": F.lit(1.0), "lender_id": F.lit("L")})
+    )
+    case_id = base.first().case_id
+    updates = spark.createDataFrame([(case_id, "confirmed", "n1", 1), (case_id, "cleared", "n2", 2), ("?", "x", None, 1)], "case_id string, decision string, notes string, at int")
+    done, unknown = cases.analyst_updates(base, updates, at="at")
+    assert rows(done, "analyst_decision", "analyst_notes") == [("cleared", "n2")] and rows(unknown, "case_id") == [("?",)]
+
+
+def test_two_orders_of_one_number(spark):
+    inv = spark.createDataFrame([("i1", "PO-1", None)], "invoice_id string, po_number string, grn_number string")
+    po = spark.createDataFrame([("PO-1", 5.0), (" po-1 ", 9.0)], "po_number string, amount double")
+    grn = spark.createDataFrame([("G", 1.0)], "grn_number string, quantity double")
+    got = matching.match_documents(inv, po, grn).collect()
+    assert len(got) == 1 and got[0].has_po and not got[0].has_grn
+
+
+def test_rings_of_text_ids(spark):
+    edges = spark.createDataFrame([("S-1", "S-2"), ("S-2", "S-3"), ("S-3", "S-1"), ("S-2", "S-1")], "src string, dst string")
+    assert sorted(r.members for r in graph.carousel_rings(edges).collect()) == [["S-1", "S-2"], ["S-1", "S-2", "S-3"]]
+
+
+@pytest.mark.parametrize("positives", [100, 10])
+def test_resample_balances_rare_classes(spark, positives):
+    df = spark.range(100_000).select("id", (F.col("id") < positives).cast("int").alias("label"))
+    got = dict(rows(sampling.weighted_resample(df, key="id").groupBy("label").count(), "label", "count"))
+    assert abs(got[1] / (got[0] + got[1]) - 0.5) < 0.01 and abs(got[0] + got[1] - 100_000) < 1000
+
+
+def test_outlier_does_not_fill_a_bucket(spark):
+    counted = spark.range(100_000).select(F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") / 7).alias("v"), F.lit(1).alias("n"))
+    upto = running_totals(counted, value="v", measures=["n"])
+    got = upto.where("v > 1e8 or v < 1").orderBy("v").collect()
+    assert [r.n_upto for r in got] == [1, 2, 3, 4, 5, 6, 100_000]
+    cuts = counted.agg(F.percentile_approx("v", [i / 1024 for i in range(1, 1024)], 20 * 1024)).first()[0]
+    assert max(np.bincount(np.searchsorted(cuts, [r.v for r in counted.collect()], side="right"))) <= 1000
