@@ -223,13 +223,15 @@ def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``<col>_enc``: rank of the text among the column's distinct texts, from 0; null is the text UNKNOWN."""
+    """``<col>_enc``: rank of the text among the column's distinct texts, from 0; null is the text UNKNOWN.
+
+    Distinct texts are numbered in slices by their first characters, so a column of many texts is not sorted in one task.
+    """
     out = df
     for c in cols:
         text = F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
-        codes = df.select(text.alias(c)).distinct().select(
-            F.col(c).alias("_v"), (F.dense_rank().over(W.orderBy(c)) - 1).cast("long").alias(f"{c}_enc")
-        )
+        distinct = df.select(text.alias("_v")).distinct().withColumn("_head", F.substring("_v", 1, 4))
+        codes = number_rows(distinct, group=[], split=["_head"], order=["_v"]).select("_v", (F.col("position") - 1).cast("long").alias(f"{c}_enc"))
         out = out.withColumn("_v", text).join(codes, "_v").drop("_v")
     return out
 

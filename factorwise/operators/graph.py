@@ -155,9 +155,9 @@ def ring_membership(rings: DataFrame, *, slices: Sequence[str] = ()) -> DataFram
 
 
 def reachability(
-    edges: DataFrame, *, sources: DataFrame | None = None, max_hops: int = 3, slices: Sequence[str] = ()
+    edges: DataFrame, *, sources: DataFrame | None = None, max_hops: int | None = None, slices: Sequence[str] = ()
 ) -> DataFrame:
-    """Nodes reachable in 1..max_hops hops with the fewest hops: [slices], source, node, hops.
+    """Nodes reachable in 1..max_hops hops (None: any number) with the fewest hops: [slices], source, node, hops.
 
     Semi-naive: only pairs new in the last round are extended. ``sources``
     ([slices], source) limits the starting nodes.
@@ -170,7 +170,9 @@ def reachability(
     keys = [*slices, "source", "node"]
     visited = frontier = cut_lineage(first.withColumn("hops", F.lit(1)))
     hop = plain.select(*slices, F.col("src").alias("node"), F.col("dst").alias("next"))
-    for depth in range(2, max_hops + 1):
+    depth = 1
+    while max_hops is None or depth < max_hops:
+        depth += 1
         reached = (
             frontier.join(hop, [*slices, "node"])
             .select(*slices, "source", F.col("next").alias("node"))
@@ -178,6 +180,8 @@ def reachability(
             .join(visited.select(*keys), keys, "left_anti")
         )
         frontier = cut_lineage(reached.withColumn("hops", F.lit(depth)))
+        if max_hops is None and frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier)
     return visited
 

@@ -28,7 +28,14 @@ def _aliased(spark, sf):
     return normalise.resolve_aliases(normalise.normalise_headers(raw), keep=KEEP)
 
 
-@catalog.add("ingest_csv")
+# the files hold every feed row; the CSV reader strips blanks around values
+_HEADS = {
+    "invoice_no": "Invoice No", "vendor_name": "Vendor Name", "customer": "Customer", "total_amount": "Total Amount", "order_date": "Order Date",
+    "po_no": "PO No", "grn_no": "GRN No", "currency_code": "Currency Code", "financier_name": "Financier Name", "payment_type": "Payment Type",
+}
+
+
+@catalog.add("ingest_csv", "select feed_id, " + ", ".join(f"""nullif(trim({c}), '') as "{h}\"""" for c, h in _HEADS.items()) + ", null::varchar as _line_error from feed")
 def _(spark, sf):
     path = folder(spark, "csv")
     v.raw_feed(spark, sf).drop("source_file").write.option("header", True).csv(path)
@@ -38,7 +45,7 @@ def _(spark, sf):
 _JSON = T.StructType([T.StructField(n, T.StringType()) for n in ("feed_id", "Invoice No", "Vendor Name", "Customer", "Total Amount", "Order Date")])
 
 
-@catalog.add("ingest_json")
+@catalog.add("ingest_json", "select feed_id, " + ", ".join(f"""{c} as "{h}\"""" for c, h in list(_HEADS.items())[:5]) + ", null::varchar as _line_error from feed")
 def _(spark, sf):
     path = folder(spark, "json")
     v.raw_feed(spark, sf).drop("source_file").write.json(path)
