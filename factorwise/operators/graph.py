@@ -187,66 +187,44 @@ def reachability(
 
 
 def cascade_trace(
-    roots: DataFrame, inv: DataFrame, edges: DataFrame, *, hours: int = 72, cap: int = 20, max_hops: int = 3, slice_col: str = "week"
+    roots: DataFrame, inv: DataFrame, edges: DataFrame, *, hours: int = 72, max_hops: int | None = None, slice_col: str = "week"
 ) -> DataFrame:
-    """Downstream invoices of each root: depth (at most ``cap``) and their summed amount.
+    """Number and summed amount of the invoices downstream of each root: invoice_id, cascade_depth, exposure.
 
     roots and inv: invoice_id, company, invoice_date, amount, <slice_col> (a date,
     the Monday of the trading week). Downstream invoices are issued by companies
     reachable from the root's company in the root's slice and dated one day
-    before to ``hours`` after the root; the first ``cap`` by (date, id) count.
+    before to ``hours`` after the root; the root itself does not count.
 
-    Roots of one company and day share their answer, so it is computed per
-    (slice, company, day) from short per-day lists, never per invoice pair.
+    Counts and sums per company and day are all that travels: roots of one
+    company and day share their answer, and no list of invoices is ever built.
     """
     days = hours // 24
-    keep = cap + 1  # one spare: the root itself is left out at the end
-    # First ids of every company and day; the rank limit applies before the shuffle.
-    per_day = W.partitionBy("company", "invoice_date").orderBy("invoice_id")
-    daily = (
-        inv.select("company", "invoice_date", "invoice_id", "amount")
-        .withColumn("_r", F.row_number().over(per_day))
-        .where(F.col("_r") <= keep)
-        .drop("_r")
-    )
-    # A day serves roots dated from day - days to day + 1: at most two slices.
-    reach_slices = F.array_distinct(
-        F.array(*[F.date_trunc("week", F.date_add("invoice_date", d)).cast("date") for d in (-days, 1)])
-    )
-    offered = daily.withColumn(slice_col, F.explode(reach_slices)).withColumnRenamed("company", "node")
+    daily = inv.groupBy("company", "invoice_date").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(38,2)").alias("amount"))
+    # A day serves roots dated from day - days to day + 1, so all slices between those.
+    monday = lambda d: F.date_trunc("week", F.date_add("invoice_date", d)).cast("date")
+    served = F.sequence(monday(-days), monday(1), F.expr("interval 7 days"))
+    offered = daily.withColumn(slice_col, F.explode(served)).withColumnRenamed("company", "node")
     sources = roots.select(slice_col, F.col("company").alias("source")).distinct()
-    reach = reachability(edges, sources=sources, max_hops=max_hops, slices=[slice_col]).select(slice_col, "source", "node")
-    first_of_day = W.partitionBy(slice_col, "source", "invoice_date").orderBy("invoice_id")
-    by_source = (
-        reach.join(offered, [slice_col, "node"])
-        .withColumn("_r", F.row_number().over(first_of_day))
-        .where(F.col("_r") <= keep)
-        .select(slice_col, "source", "invoice_date", "invoice_id", "amount")
-    )
-    # A source has at most seven root days and keep ids per day in a slice, so this join stays narrow.
+    reach = cut_lineage(reachability(edges, sources=sources, max_hops=max_hops, slices=[slice_col]).select(slice_col, "source", "node"))
+    totals = lambda: (F.sum("n").alias("n"), F.sum("amount").cast("decimal(38,2)").alias("total"))
+    by_day = reach.join(offered, [slice_col, "node"]).groupBy(slice_col, "source", "invoice_date").agg(*totals()).withColumnRenamed("total", "amount")
+    # A source has at most seven root days in a slice, and as many days as the window serves them.
     root_days = roots.select(slice_col, F.col("company").alias("source"), F.col("invoice_date").alias("root_date")).distinct()
     keys = [slice_col, "source", "root_date"]
     in_window = F.col("invoice_date").between(F.date_sub("root_date", 1), F.date_add("root_date", days))
-    window = W.partitionBy(*keys).orderBy("invoice_date", "invoice_id")
-    lists = (
-        by_source.join(root_days, [slice_col, "source"])
-        .where(in_window)
-        .withColumn("_r", F.row_number().over(window))
-        .where(F.col("_r") <= keep)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("invoice_date", "invoice_id", "amount"))).alias("found"))
-    )
-    joined = roots.select("invoice_id", slice_col, F.col("company").alias("source"), F.col("invoice_date").alias("root_date")).join(
-        lists, keys, "left"
-    )
-    others = F.slice(F.filter("found", lambda x: x["invoice_id"] != F.col("invoice_id")), 1, cap)
-    total = F.aggregate(
-        others, F.lit(0).cast("decimal(38,2)"), lambda s, x: (s + x["amount"]).cast("decimal(38,2)")
+    found = by_day.join(root_days, [slice_col, "source"]).where(in_window).groupBy(*keys).agg(*totals())
+    circular = reach.where("source = node").select(slice_col, "source", F.lit(True).alias("own"))
+    joined = (
+        roots.select("invoice_id", "amount", slice_col, F.col("company").alias("source"), F.col("invoice_date").alias("root_date"))
+        .join(found, keys, "left")
+        .join(circular, [slice_col, "source"], "left")
     )
+    own = F.coalesce("own", F.lit(False))
     return joined.select(
         "invoice_id",
-        F.coalesce(F.size(others), F.lit(0)).cast("long").alias("cascade_depth"),
-        F.coalesce(total.cast("double"), F.lit(0.0)).alias("exposure"),
+        (F.coalesce("n", F.lit(0)) - F.when(own, 1).otherwise(0)).cast("long").alias("cascade_depth"),
+        (F.coalesce("total", F.lit(0)) - F.when(own, F.col("amount")).otherwise(0)).cast("double").alias("exposure"),
     )
 
 

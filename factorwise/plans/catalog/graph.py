@@ -21,7 +21,7 @@ def rings(spark, sf):
 
 def cascades(spark, sf):
     inv = v.company_invoices(spark, sf)
-    return stage_table(spark, "cascades", sf, lambda: graph.cascade_trace(inv, inv, edges(spark, sf)))
+    return stage_table(spark, "cascades", sf, lambda: graph.cascade_trace(inv, inv, edges(spark, sf), max_hops=3))
 
 
 def findings(spark, sf):
@@ -99,10 +99,10 @@ answer as (
   select k.week, k.company, k.invoice_date as root_date, i.invoice_id, i.invoice_date, i.amount
   from (select distinct week, company, invoice_date from rooted) k join reach r on r.week = k.week and r.source = k.company
   join rooted i on i.company = r.node and i.invoice_date between k.invoice_date - 1 and k.invoice_date + 3),
-ranked as (
-  select o.invoice_id, a.amount, row_number() over (partition by o.invoice_id order by a.invoice_date, a.invoice_id) as rn
-  from rooted o join answer a on a.week = o.week and a.company = o.company and a.root_date = o.invoice_date and a.invoice_id <> o.invoice_id),
-cascade as (select invoice_id, count(*) as cascade_depth, sum(amount)::double as exposure from ranked where rn <= 20 group by 1)"""
+cascade as (
+  select o.invoice_id, count(*) as cascade_depth, sum(a.amount)::double as exposure
+  from rooted o join answer a on a.week = o.week and a.company = o.company and a.root_date = o.invoice_date and a.invoice_id <> o.invoice_id
+  group by 1)"""
 
 
 @catalog.add(
@@ -112,7 +112,7 @@ cascade as (select invoice_id, count(*) as cascade_depth, sum(amount)::double as
 )
 def _(spark, sf):
     inv = v.company_invoices(spark, sf)
-    return graph.cascade_trace(inv, inv, edges(spark, sf))
+    return graph.cascade_trace(inv, inv, edges(spark, sf), max_hops=3)
 
 
 _EGO = """

@@ -417,3 +417,15 @@ def test_outlier_does_not_fill_a_bucket(spark):
     assert [r.n_upto for r in got] == [1, 2, 3, 4, 5, 6, 100_000]
     cuts = counted.agg(F.percentile_approx("v", [i / 1024 for i in range(1, 1024)], 20 * 1024)).first()[0]
     assert max(np.bincount(np.searchsorted(cuts, [r.v for r in counted.collect()], side="right"))) <= 1000
+
+
+def test_cascade_counts_all(spark):
+    e = spark.createDataFrame([(D(2024, 1, 8), i, i + 1) for i in range(1, 6)] + [(D(2024, 1, 8), 6, 1)], "week date, src bigint, dst bigint")
+    data = [("root", 1, 0)] + [(f"x{i:02d}", 6, i % 3) for i in range(45)]
+    inv = spark.createDataFrame([(i, c, D(2024, 1, 10) + dt.timedelta(days=o), decimal.Decimal("10.00")) for i, c, o in data], "invoice_id string, company bigint, invoice_date date, amount decimal(18,2)")
+    inv = inv.withColumn("week", F.date_trunc("week", "invoice_date").cast("date"))
+    got = {r["invoice_id"]: (r["cascade_depth"], r["exposure"]) for r in graph.cascade_trace(inv, inv, e).collect()}
+    assert got["root"] == (45, 450.0) and got["x00"] == (45, 450.0)  # the ring leads back to both companies
+    late = inv.withColumn("invoice_date", F.when(F.col("invoice_id") == "root", F.col("invoice_date")).otherwise(F.date_add("invoice_date", 14)))
+    got = {r["invoice_id"]: r["cascade_depth"] for r in graph.cascade_trace(inv.where("invoice_id = 'root'"), late, e, hours=480).collect()}
+    assert got["root"] == 45
