@@ -22,6 +22,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of each run of true values."""
+    step = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        step = np.concatenate(([0], step))
+    if len(inside) and inside[-1]:
+        step = np.append(step, len(inside))
+    return step[0::2], step[1::2]
+
+
 class Ranges:
     """Polynomial prefix sums of ``values``: the hash of any range costs two look-ups."""
 
