@@ -129,6 +129,41 @@ def test_crossed_and_shifted_agree():
     assert crossed == want and shifted == {(i, j) for i, j in want if i < j}
 
 
+def test_keep_first_by_similarity(docs, texts):
+    def shingles(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {d: shingles(t) for d, t in texts.items()}
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for d in sets:
+        best = max((near(d, e) for e in sets if e < d), default=0)
+        assert best < 0.9 or d not in kept
+        assert best > 0.6 or d in kept
+    assert len(kept) < len(sets)
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_similar_links_of_one_bucket(spark, block):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, (3, 8), dtype=np.uint64)
+    fps = [base[i % 3] ^ np.array([sum(1 << int(b) for b in rng.choice(63, 2, False)) for _ in range(8)], np.uint64) for i in range(60)]
+    nodes = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(fps)], "node long, fp binary")
+    edges = simhash.similar_links(nodes, 3, 31, 80, block=block).collect()
+    root = list(range(60))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in edges:
+        a, b = find(e.u), find(e.v)
+        root[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(60)] == [i % 3 for i in range(60)]
+
+
 def test_simhash_odd(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 11 and simhash.near_duplicates(none).count() == 0

@@ -13,8 +13,7 @@ def test_pipeline(spark):
     whole = {r.doc_id: r for r in docs.collect()}
     rejected = {r.doc_id for r in langid.identify(docs, train=~langid.held_out()).collect() if r.rejected}
     left = docs.filter(~docs.doc_id.isin(list(rejected) or [-1]))
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(left).collect()}
-    first = {d for d, c in groups.items() if d == c}
+    first = {r.doc_id for r in simhash.keep_first(left).collect()}
     left = left.filter(left.doc_id.isin(list(first)))
     leaked = {r.doc_id for r in decontam.leaks(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     left = left.filter(~left.doc_id.isin(list(leaked) or [-1]))
