@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factorwise.llm.common import cut, fresh, table
+from factorwise.llm.rolling import Ranges, mixed, runs
 
 WIDTH = 8
 #: Distinct benchmark windows (8 bytes each) that travel with the tasks as a filter; beyond it the join shuffles.
@@ -32,10 +33,6 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees watt watts volt volts mph kph"
 ).split()
 NUMBER, UNIT, NAME = np.uint64(0x4E554D), np.uint64(0x554E4954), np.uint64(0x4E414D45)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 @functools.cache
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per code point: in a token, a digit, a capital letter."""
@@ -44,24 +41,9 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter((c.isalpha() for c in chars), bool, len(chars)) | digit, digit, np.fromiter((c.isupper() for c in chars), bool, len(chars))
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(29)
-
-
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each range; equal ranges of values get equal hashes."""
-    size = 1 << max(10, len(values).bit_length())
-    up, down = _powers(size)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(values + np.uint64(1)) * up[: len(values)], dtype=np.uint64)))
-    return _mixed((total[end] - total[start]) * down[start])
+    return Ranges(mixed(values.astype(np.uint64))).hash(start, end)
 
 
 @functools.cache
@@ -77,8 +59,7 @@ class Template:
         self.text = text or ""
         codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         inside, digit, capital = (c[codes] for c in _classes())
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.start, self.end = runs(inside)
         self.n = len(self.start)
         if not self.n:
             self.own = self.template = np.zeros(0, np.uint64)
@@ -87,8 +68,8 @@ class Template:
         lower = np.frombuffer(self.text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         low = lower if len(lower) == len(codes) else codes
         self.own = range_hashes(low.astype(np.uint64), self.start, self.end)
-        digits = np.concatenate(([0], np.cumsum(digit)))
-        number = digits[self.end] > digits[self.start]
+        number = np.zeros(self.n, bool)
+        number[np.searchsorted(self.start, np.flatnonzero(digit), "right") - 1] = True
         after = np.concatenate(([False], number[:-1]))
         unit = after & ~number & np.isin(self.own, _unit_hashes())
         name = capital[self.start] & ~number & ~unit
