@@ -5,18 +5,11 @@ from pyspark.sql import functions as F
 from factorwise.operators import cases, retrieval
 from factorwise.plans import investigate as inv_plan, views as v
 from factorwise.plans.catalog import Catalog
-from factorwise.plans.catalog.graph import _CASCADE, _RINGS
 from factorwise.plans.catalog.ingest import typed
 from factorwise.plans.catalog.retrieval import _SEARCH, _search
-from factorwise.plans.catalog.scoring import _PHI, _SIGNALS, plain_signals, with_graph
+from factorwise.plans.catalog.scoring import _GRAPH, _PHI, _SIGNALS, invoice_signals, with_graph
 
 catalog = Catalog()
-_GRAPH = "with recursive " + _RINGS.strip() + ",\n" + _CASCADE.strip() + """,
-member_of as (select distinct week, unnest(path) as company from ring),
-found as (select s.*, m.company is not null as has_carousel, coalesce(c.cascade_depth, 0) as depth, coalesce(c.exposure, 0) as exposure
-  from scored s join rooted r on r.invoice_id = s.invoice_id left join member_of m on m.week = r.week and m.company = r.company
-  left join cascade c on c.invoice_id = s.invoice_id)"""
-
 
 @catalog.add(
     "investigate",
@@ -106,7 +99,7 @@ def _(spark, sf):
 
 def evidence(spark, sf):
     """Flagged invoices with graph findings and signal names."""
-    named = inv_plan.top_signal_names(plain_signals(spark, sf))
+    named = inv_plan.top_signal_names(invoice_signals(spark, sf))
     flagged = with_graph(spark, sf).where(F.col("fraud_decision") != "PASS")
     return flagged.join(named, "invoice_id").withColumn("semantic_similarity", F.lit(0.0))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factorwise.operators import scoring
 from factorwise.plans import views as v
 from factorwise.plans.catalog import Catalog
-from factorwise.plans.catalog.graph import findings
+from factorwise.plans.catalog.graph import _CASCADE, _RINGS, findings
 
 catalog = Catalog()
 
@@ -14,17 +14,23 @@ def with_graph(spark, sf):
     return v.scored_invoices(spark, sf).join(findings(spark, sf), "invoice_id", "left")
 
 
-def plain_signals(spark, sf):
-    """Signals of the stored invoices (graph findings not joined)."""
-    return scoring.signal_scores(v.scored_invoices(spark, sf))
+def invoice_signals(spark, sf):
+    """Signals of the stored invoices with their graph findings."""
+    return scoring.signal_scores(with_graph(spark, sf))
 
 
+_GRAPH = "with recursive " + _RINGS.strip() + ",\n" + _CASCADE.strip() + """,
+member_of as (select distinct week, unnest(path) as company from ring),
+found as (select s.*, m.company is not null as has_carousel, coalesce(c.cascade_depth, 0) as depth, coalesce(c.exposure, 0) as exposure
+  from scored s join rooted r on r.invoice_id = s.invoice_id left join member_of m on m.week = r.week and m.company = r.company
+  left join cascade c on c.invoice_id = s.invoice_id)"""
 _SIGNALS = """
 signal as (select invoice_id, fraud_score as dnn, round(duplicate_risk_score * 0.5e0, 6) as isolation_forest, 0e0 as siamese,
-  0e0 as graph_carousel, 0e0 as graph_cascade, round(least(anomaly_count / 5e0, 1e0), 6) as match_anomaly from scored),
+  case when has_carousel then 0.9e0 else 0e0 end as graph_carousel, round(least(depth / 5e0, 1e0), 6) as graph_cascade,
+  round(least(anomaly_count / 5e0, 1e0), 6) as match_anomaly from found),
 ens as (select *, round(least(0e0 + dnn * 0.3e0 + isolation_forest * 0.15e0 + siamese * 0.2e0 + graph_carousel * 0.15e0 + graph_cascade * 0.1e0
   + match_anomaly * 0.1e0, 1e0), 9) as value from signal)"""
-W = "with " + _SIGNALS.strip()
+W = _GRAPH + ",\n" + _SIGNALS.strip()
 
 
 @catalog.add("heuristic_score", "select invoice_id, fraud_score as value from scored")
@@ -34,12 +40,12 @@ def _(spark, sf):
 
 @catalog.add("signal_scores", W + " select * from signal")
 def _(spark, sf):
-    return plain_signals(spark, sf)
+    return invoice_signals(spark, sf)
 
 
 @catalog.add("ensemble_score", W + " select invoice_id, value from ens")
 def _(spark, sf):
-    return scoring.ensemble_score(plain_signals(spark, sf))
+    return scoring.ensemble_score(invoice_signals(spark, sf))
 
 
 @catalog.add(
@@ -48,7 +54,7 @@ def _(spark, sf):
   + graph_cascade * 0.1e0, 1e0), 9) as value from signal""",
 )
 def _(spark, sf):
-    return scoring.ensemble_score(plain_signals(spark, sf), weights=scoring.ENSEMBLE_WEIGHTS_5)
+    return scoring.ensemble_score(invoice_signals(spark, sf), weights=scoring.ENSEMBLE_WEIGHTS_5)
 
 
 @catalog.add(
@@ -77,19 +83,19 @@ phi as (select invoice_id, feature, round((x - avg(x) over (partition by feature
   select *, row_number() over (partition by invoice_id order by abs(contribution) desc, feature) as rank from phi) where rank <= 5""",
 )
 def _(spark, sf):
-    return scoring.top_attributions(plain_signals(spark, sf))
+    return scoring.top_attributions(invoice_signals(spark, sf))
 
 
 @catalog.add("mean_abs_attribution", W + ",\n" + _PHI.strip() + " select feature, round(avg(abs(contribution)), 6) as mean_abs from phi group by 1")
 def _(spark, sf):
-    signals = plain_signals(spark, sf)
+    signals = invoice_signals(spark, sf)
     every = scoring.contributions(signals).withColumn("contribution", F.round("contribution", 6))
     return scoring.mean_abs_attribution(every)
 
 
 @catalog.add("velocity_flag", W + " select invoice_id, 'velocity_anomaly' as pattern from signal where isolation_forest > 0.45")
 def _(spark, sf):
-    return scoring.velocity_flag(plain_signals(spark, sf), cut=0.45)
+    return scoring.velocity_flag(invoice_signals(spark, sf), cut=0.45)
 
 
 @catalog.add(
