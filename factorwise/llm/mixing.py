@@ -6,7 +6,8 @@ quotas limit what they take. The cheapest flow that fills the quotas says how ma
 source; seeded selection then turns words into documents.
 
 The network is small: one node per pattern and per source, at most ``MAX_PATTERNS`` (checked). Documents never leave the
-executors: positions in the seeded order come from hash-slice totals.
+executors: positions in the seeded order come from hash-slice totals. The tables that are broadcast have a row per pattern
+or source, so the same bound holds for them.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def mix(rows: DataFrame, quotas: dict[str, int], *, size: str, members: str, key
     taker = lambda e: F.get(F.filter("parts", lambda x: (middle(e) >= x["a"]) & (middle(e) < x["b"])), 0)["s"]
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), taker), lambda s: s.isNotNull())
     none = F.array().cast("array<string>")
-    rows = cut(placed.join(owned, pid, "left").withColumn("served", F.when(F.col(size) > 0, F.coalesce(copies, none)).otherwise(none)).drop("parts", total))
+    rows = cut(placed.join(F.broadcast(owned), pid, "left").withColumn("served", F.when(F.col(size) > 0, F.coalesce(copies, none)).otherwise(none)).drop("parts", total))
 
     for _ in range(corrections):
         have = {r.s: r.words for r in rows.select(F.explode("served").alias("s"), size).groupBy("s").agg(F.sum(size).alias("words")).collect()}
@@ -153,7 +154,7 @@ def mix(rows: DataFrame, quotas: dict[str, int], *, size: str, members: str, key
         offered = rows.filter(F.col(size) > 0).select(
             pid, before, size, h, F.size("served").alias("copies"), spare.alias("spare"), F.explode(F.array_distinct(members)).alias("s"), "served"
         )
-        able = offered.join(gaps, "s").filter(F.when(F.col("gap") > 0, F.col("spare")).otherwise(F.array_contains("served", F.col("s"))))
+        able = offered.join(F.broadcast(gaps), "s").filter(F.when(F.col("gap") > 0, F.col("spare")).otherwise(F.array_contains("served", F.col("s"))))
         off = F.abs(F.abs("gap") - F.col(size))
         best = able.groupBy("s", "gap").agg(F.min(F.struct(off.alias("off"), "copies", h, pid, before)).alias("x"))
         chosen = {}
@@ -165,7 +166,7 @@ def mix(rows: DataFrame, quotas: dict[str, int], *, size: str, members: str, key
         at = F.array_position("served", F.col("s")).cast("int")
         fewer = F.concat(F.slice("served", F.lit(1), at - 1), F.slice("served", at + 1, F.size("served")))
         changed = F.when(F.col("s").isNull() | (F.col(size) == 0), F.col("served")).when(F.col("more"), F.concat("served", F.array("s"))).otherwise(fewer)
-        rows = cut(rows.join(change, [pid, before], "left").withColumn("served", changed).drop("s", "more"))
+        rows = cut(rows.join(F.broadcast(change), [pid, before], "left").withColumn("served", changed).drop("s", "more"))
     return rows.drop(pid, h, before)
 
 
@@ -185,7 +186,7 @@ def mix_to_weights(rows: DataFrame, *, key: str = "doc_id", source: str = "sourc
     goal = targets(sizes, max_repeats=max_repeats)
     mixed = mix(rows, {s: round(t) for s, t in goal.items()}, size=size, members=members, key=key, max_repeats=max_repeats, seed=seed)
     facts = rows.sparkSession.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], f"`{name}` string, source_size long, target double")
-    return mixed.join(facts, name).select(
+    return mixed.join(F.broadcast(facts), name).select(
         *kept, "source_size", "target", (F.size("served") * F.col(size)).alias("taken"), F.size("served").alias("copies")
     )
 
