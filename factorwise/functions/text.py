@@ -53,23 +53,27 @@ def _sequence_ratios(texts: pd.Series) -> pd.Series:
     return pd.Series([known.get(t) for t in texts], dtype=object)
 
 
-def name_ratios(pairs: Sequence[tuple[Column, Column]]) -> list[Column]:
+def name_ratios(pairs: Sequence[tuple[Column, Column]], *, cut: float = 0.0) -> list[Column]:
     """Ratcliff-Obershelp similarity of pairs of names after cleaning, 0 when one is empty.
 
     Equal names and names where one contains the other have a closed form and
     stay in the JVM. What is left of a row's pairs goes to Python as one packed
     text, which is null for nearly all rows. (From 200 characters on the matcher
-    ignores very frequent characters, so the closed form ends there.)
+    ignores very frequent characters, so the closed form ends there.) Where only
+    "at least ``cut``" matters, pairs whose lengths alone rule that out get that
+    upper bound as their value and stay in the JVM too.
     """
     parts, closed_forms, hard_flags = [], [], []
     for a, b in pairs:
         left, right = clean(a), clean(b)
         n, m = F.length(left), F.length(right)
         closed = (left == right) | ((m < 200) & (n < 200) & (F.contains(left, right) | F.contains(right, left)))
-        hard = (n > 0) & (m > 0) & ~closed
+        bound = F.least(n, m) * 2.0 / F.greatest(n + m, F.lit(1))
+        beyond = bound < cut
+        hard = (n > 0) & (m > 0) & ~closed & ~beyond
         hard_flags.append(hard)
         parts.append(F.when(hard, F.concat(left, F.lit(FIELD), right)).otherwise(F.lit("")))
-        closed_forms.append(F.when((n == 0) | (m == 0), F.lit(0.0)).when(closed, F.least(n, m) * 2.0 / (n + m)))
+        closed_forms.append(F.when((n == 0) | (m == 0), F.lit(0.0)).when(closed | beyond, bound))
     packed = F.when(reduce(Column.__or__, hard_flags), F.concat_ws(PAIR, *parts))
     worked = _sequence_ratios(packed)
     return [F.coalesce(c, F.get(worked, F.lit(i))) for i, c in enumerate(closed_forms)]

@@ -145,7 +145,7 @@ def match_details(joined: DataFrame) -> DataFrame:
     if "po_currency" not in joined.columns:
         joined = joined.withColumn("po_currency", F.lit(None).cast("string"))
     sides = [(doc, role) for doc in ("po", "grn") for role in ("supplier", "buyer")]
-    ratios = name_ratios([(F.col(f"{role}_name"), F.col(f"{doc}_{role}_name")) for doc, role in sides])
+    ratios = name_ratios([(F.col(f"{role}_name"), F.col(f"{doc}_{role}_name")) for doc, role in sides], cut=NAME_CUT)
     rated = joined.withColumns({f"_{doc}_{role}": r for (doc, role), r in zip(sides, ratios)})
     po, grn = _po_checks(), _grn_checks()
     empty = F.array().cast("array<string>")
