@@ -24,7 +24,7 @@ from factorwise.llm.rolling import Ranges, mixed, runs
 
 WIDTH = 8
 #: Distinct benchmark windows (8 bytes each) that travel with the tasks as a filter; beyond it the join shuffles.
-FILTER_WINDOWS = 4_000_000
+FILTER_WINDOWS = 1_000_000
 # Unit words.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -152,7 +152,7 @@ def leaks(
     distinct = wanted.select("h").distinct()
     known = None
     if distinct.count() <= FILTER_WINDOWS:
-        known = np.sort(np.array([r.h for r in distinct.collect()], np.int64).view(np.uint64))
+        known = np.sort(distinct.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     found = windows(docs, key=key, text=text, widths=widths or [WIDTH], wanted=known).drop("tokens")
     theirs = wanted.select("item", "width", "h", F.col("pos").alias("item_pos"), F.col("own").alias("item_own"), F.col("slots").alias("item_slots"), "tokens")
     met = found.join(theirs, ["width", "h"])
