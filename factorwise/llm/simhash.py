@@ -34,6 +34,8 @@ SHIFTED = 64
 WIDE_SHIFTED = 256
 #: Buckets over BLOCK rows (some 50 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_BUCKETS = 500_000
+#: Bytes of shingle sets in one block of a candidate group; a task compares two blocks.
+SET_BLOCK = 8 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE_AT = np.arange(8, dtype=np.intp) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -289,30 +291,36 @@ def plan(n: int, similarity: float, bits: int = 512) -> tuple[int, int, int, int
     """(hex digits of a bucket's key, tables, 64-bit words, radius) for n fingerprints.
 
     Keys grow with the logarithm of n, so buckets keep their size, and there are as many tables as find a pair at the
-    similarity with probability 0.99. The radius lies 0.3 standard deviations above the expected distance: of pairs just at the similarity
-    two thirds are found, and of those clearly above it nearly all.
+    similarity with probability 0.99. The radius lies 6 standard deviations above the expected distance, so pairs at
+    the similarity are candidates; whether they are linked is for their shingle sets to say.
     """
     p = differing(similarity)
     digits = min(8, max(3, math.ceil(math.log2(max(1, n) / 64) / 4)))
     rows = math.ceil(math.log(0.01) / math.log(1 - (1 - p) ** (4 * digits)))
     words = max(bits // 64, math.ceil(4 * digits * rows / 64))
-    return digits, rows, words, int(64 * words * p + 0.3 * math.sqrt(64 * words * p * (1 - p)))
+    return digits, rows, words, int(64 * words * p + 6 * math.sqrt(64 * words * p * (1 - p)))
+
+
+def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, width, seed))
 
 
 def wide_fingerprints(docs: DataFrame, words: int, *, key: str, text: str, width: int, seed: int = 42) -> DataFrame:
-    """(key, fp): SimHash of 64 * words bits as bytes; blank texts give zeros."""
+    """(key, fp, content): SimHash of the distinct shingles, 64 * words bits as bytes, and a 128-bit hash of their set; blank texts give zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, content = [], []
             for t in b.column(1):
-                h = shingle_hashes(t.as_py(), width, seed)
+                h = shingle_set(t.as_py(), width, seed)
                 parts = [majority(x) for x in _multiples(h, words)] if len(h) else [0] * words
                 out.append(np.array(parts, np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "fp"])
+                content.append(xxhash.xxh3_128_digest(h.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(content, pa.binary())], names=["key", "fp", "content"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
-    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, fp binary")
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, fp binary, content binary")
 
 
 def similar_links(nodes: DataFrame, digits: int, rows: int, radius: int, *, block: int = BLOCK) -> DataFrame:
@@ -383,18 +391,118 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Least row of each row's group: sets joined by chains of Jaccard similarities of ``similarity`` or more.
+
+    A search over rows in order of size: each set reached is compared once with the sets of fitting size not reached yet.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    end = np.cumsum(size)
+    start = end - size
+    _, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark, waiting, root = np.zeros(len(codes) + 1, bool), np.ones(len(sets), bool), np.arange(len(sets))
+    for first in range(len(sets)):
+        reached, group = [first] if waiting[first] else [], []
+        waiting[first] = False
+        while reached:
+            x = reached.pop()
+            group.append(order[x])
+            lo, hi = np.searchsorted(size, size[x] * similarity - 1e-6), np.searchsorted(size, size[x] / similarity + 1e-6, "right")
+            rest = lo + np.flatnonzero(waiting[lo:hi])
+            if not len(rest):
+                continue
+            lo, hi = rest[0], rest[-1] + 1
+            own = codes[start[x] : end[x]]
+            mark[own] = True
+            hits = np.concatenate(([0], np.cumsum(mark[codes[start[lo] : end[hi - 1]]])))
+            mark[own] = False
+            both = hits[end[rest] - start[lo]] - hits[start[rest] - start[lo]]
+            near = rest[both >= similarity * (size[x] + size[rest] - both) - 1e-9]
+            waiting[near] = False
+            reached += near.tolist()
+        if group:
+            root[group] = min(group)
+    return root
+
+
+def exact_links(docs: DataFrame, candidates: DataFrame, *, key: str, text: str, width: int, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """Edges (u, v) whose chains connect exactly the texts of a candidate group that chains of similar shingle sets connect.
+
+    ``candidates``: (node, root) of the groups' members but their roots. All sets are compared with the root's; those
+    near it are one group, so only pairs with a set that is not near it are left. These meet in tiles of two blocks.
+    """
+    rooted = cut(candidates.select("node", "root").union(candidates.select(F.col("root").alias("node"), "root").distinct()))
+    few = F.broadcast(rooted) if rooted.count() <= BROADCAST_BUCKETS else rooted
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):
+                b = whole.slice(s, 512)
+                sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column(2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["root", "node", "shingles"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(2), b.column(3))
+            near = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity - 1e-9 for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near, pa.bool_())], names=["root", "node", "shingles", "near"])
+
+    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("body"))
+    sets = cut(rows.join(few, "node").select("root", "node", "body").mapInArrow(hashed, "root long, node long, shingles binary"))
+    roots = sets.filter("node = root").groupBy("root").agg(F.min("shingles").alias("pivot"))
+    met = sets.join(roots, "root").select("root", "node", "shingles", "pivot")
+    starred = cut(met.mapInArrow(compared, "root long, node long, shingles binary, near boolean"))
+    size, far = F.octet_length("shingles") + 16, ~F.col("near")
+    blocks = lambda rows: F.ceil(F.sum(F.when(rows, size)) / block).cast("int")
+    open_groups = starred.groupBy("root").agg(blocks(far).alias("m"), blocks(F.col("near")).alias("k")).filter("m > 0")
+    hash_of = F.xxhash64("node")
+    tiled = (
+        starred.join(open_groups, "root")
+        .withColumn("all", F.col("m") + F.col("k"))
+        .withColumn("block", F.when(far, F.pmod(hash_of, F.col("m"))).otherwise(F.col("m") + F.pmod(hash_of, F.col("k"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(far, F.col("all")).otherwise(F.col("m")) - 1)))
+        .select(
+            F.lit(0).alias("t"), F.col("root").alias("bucket"), "node", "shingles",
+            (F.least("block", "other") * F.col("all").cast("long") + F.greatest("block", "other")).alias("tile"),
+        )
+    )
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in whole_buckets(batches, 1):
+            group, node = _groups(piece), piece.column("node").to_numpy()
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in piece.column("shingles")]
+            at = np.flatnonzero(np.diff(group, prepend=-1))
+            for a, z in zip(at, np.append(at[1:], len(group))):
+                root = linked_sets(sets[a:z], similarity)
+                u, v = node[a:z], node[a:z][root]
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    rest = tiled.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(found, "u long, v long")
+    return starred.filter("near and node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest)
+
+
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of similar texts, the one with the least key (a long); all columns unchanged.
 
-    Texts are similar if their word shingles have a Jaccard similarity of ``similarity`` or more, as judged by wide
-    SimHash fingerprints (512 bits: a standard deviation of about 0.03 at 0.8); groups are closed under that. Rows that
-    repeat the kept key count as one. Blank texts are alike. Rows without a key cannot be named and stay.
+    Texts are similar if their sets of distinct word shingles have a Jaccard similarity of ``similarity`` or more; groups
+    are closed under that. Wide SimHash fingerprints only propose groups, the sets decide. Rows that repeat the kept key
+    count as one. Blank texts are alike. Rows without a key cannot be named and stay.
     """
     first = fresh(docs, "first")
+    named = docs.filter(F.col(key).isNotNull())
     digits, rows, words, radius = plan(docs.count(), similarity)
-    prints = wide_fingerprints(docs.filter(F.col(key).isNotNull()), words, key=key, text=text, width=width)
-    nodes = cut(prints.groupBy("fp").agg(F.min("key").cast("long").alias("node")))
-    roots = components(similar_links(nodes, digits, rows, radius))
+    prints = wide_fingerprints(named, words, key=key, text=text, width=width)
+    nodes = cut(prints.groupBy("content").agg(F.min("key").cast("long").alias("node"), F.min("fp").alias("fp")))
+    candidates = components(similar_links(nodes, digits, rows, radius))
+    roots = components(exact_links(named, candidates, key=key, text=text, width=width, similarity=similarity))
     ids = nodes.select("node").distinct().join(roots, "node", "left_anti")
     kept = docs.join(ids, docs[key] == ids["node"], "left_semi")
     one = kept.withColumn(first, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns))))

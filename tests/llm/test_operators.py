@@ -144,6 +144,60 @@ def test_keep_first_by_similarity(docs, texts):
     assert len(kept) < len(sets)
 
 
+def similar_pairs():
+    """(id, text) pairs 2 i, 2 i + 1 and whether they are similar: repeated lines, and similarities about 0.82 and 0.75."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, similar = [], []
+
+    def add(a, b, same):
+        rows.extend([(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))])
+        similar.append(same)
+
+    line, own = words(12), words(200)
+    add(line * 20 + words(200), line * 20 + words(200), False)
+    line = words(12)
+    add(line * 2 + own, line * 20 + own, True)
+    for share in (0.82, 0.75):
+        for _ in range(12):
+            base = words(300)
+            own = round(296 * (1 - share) / (1 + share))  # shingles of each text that the other does not have
+            add(base, base[: 300 - own] + words(own), share > 0.8)
+    return rows, similar
+
+
+def test_keep_first_is_exact(spark):
+    rows, similar = similar_pairs()
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or not similar[i // 2]}
+
+
+def test_exact_links_in_tiles(spark):
+    rng = np.random.default_rng(9)
+    base = [[f"w{x}" for x in rng.integers(0, 1 << 40, 60)] for _ in range(3)]
+    texts = []
+    for i in range(60):
+        t = list(base[i % 3])
+        for at in rng.integers(0, 60, rng.integers(0, 4)):
+            t[at] = f"x{i}-{at}"
+        texts.append(" ".join(t))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    edges = {(i, j) for i in range(60) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8}
+
+    def groups(edges):
+        label = list(range(60))
+        for _ in range(60):
+            for i, j in edges:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = spark.createDataFrame([(i, 0) for i in range(1, 60)], "node long, root long")
+    for block in (simhash.SET_BLOCK, 2000):
+        got = simhash.exact_links(docs, one, key="doc_id", text="text", width=5, similarity=0.8, block=block).collect()
+        assert groups({(r.u, r.v) for r in got}) == groups(edges) and 1 < len(set(groups(edges))) < 60
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_similar_links_of_one_bucket(spark, block):
     rng = np.random.default_rng(11)
