@@ -34,6 +34,8 @@ SHIFTED = 64
 WIDE_SHIFTED = 256
 #: Buckets over BLOCK rows (some 50 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_BUCKETS = 500_000
+#: 64-bit words of a wide fingerprint that distances are counted over; further words only give bucket keys.
+COMPARED = 8
 #: Bytes of shingle sets in one block of a candidate group; a task compares two blocks.
 SET_BLOCK = 8 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -287,18 +289,19 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan(n: int, similarity: float, bits: int = 512) -> tuple[int, int, int, int]:
+def plan(n: int, similarity: float, bits: int = 64 * COMPARED) -> tuple[int, int, int, int]:
     """(hex digits of a bucket's key, tables, 64-bit words, radius) for n fingerprints.
 
-    Keys grow with the logarithm of n, so buckets keep their size, and there are as many tables as find a pair at the
-    similarity with probability 0.99. The radius lies 6 standard deviations above the expected distance, so pairs at
-    the similarity are candidates; whether they are linked is for their shingle sets to say.
+    Only keys depend on n: they grow with its logarithm, so buckets keep their size, and there are as many tables (and
+    words to cut them from) as find a pair at the similarity with probability 0.999. Distances are those of the first
+    ``bits`` bits at any n. The radius lies 6 standard deviations above the expected distance, so pairs at the similarity
+    are candidates; whether they are linked is for their shingle sets to say.
     """
     p = differing(similarity)
     digits = min(8, max(3, math.ceil(math.log2(max(1, n) / 64) / 4)))
-    rows = math.ceil(math.log(0.01) / math.log(1 - (1 - p) ** (4 * digits)))
+    rows = math.ceil(math.log(0.001) / math.log(1 - (1 - p) ** (4 * digits)))
     words = max(bits // 64, math.ceil(4 * digits * rows / 64))
-    return digits, rows, words, int(64 * words * p + 6 * math.sqrt(64 * words * p * (1 - p)))
+    return digits, rows, words, int(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -324,9 +327,9 @@ def wide_fingerprints(docs: DataFrame, words: int, *, key: str, text: str, width
 
 
 def similar_links(nodes: DataFrame, digits: int, rows: int, radius: int, *, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between nodes (node, fp) whose wide fingerprints differ in at most ``radius`` bits and share a bucket."""
+    """Edges (u, v) between nodes (node, fp) whose wide fingerprints share a bucket and differ in at most ``radius`` of the first ``COMPARED`` words' bits."""
     table_key = lambda t: F.struct(t.alias("t"), F.substring(F.hex("fp"), t * digits + 1, F.lit(digits)).alias("bucket"))
-    entries = nodes.select("node", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), table_key)).alias("k")).select("node", "fp", "k.t", "k.bucket")
+    entries = nodes.select("node", F.substring("fp", 1, 8 * COMPARED).alias("compared"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), table_key)).alias("k")).select("node", F.col("compared").alias("fp"), "k.t", "k.bucket")
     sizes = entries.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n"))
     hot = cut(sizes.filter(F.col("n") > block).select("t", "bucket", F.ceil(F.col("n") / block).cast("int").alias("m")))
     few = F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot

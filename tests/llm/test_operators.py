@@ -172,6 +172,16 @@ def test_keep_first_is_exact(spark):
     assert kept == {i for i, _ in rows if i % 2 == 0 or not similar[i // 2]}
 
 
+def test_keep_first_at_any_size(spark, monkeypatch):
+    plans = [simhash.plan(n, 0.8) for n in (10**2, 10**4, 10**6, 10**7)]
+    assert len({p[3] for p in plans}) == 1 and len({p[:3] for p in plans}) > 1
+    rows, similar = similar_pairs()
+    for p in plans[2:]:
+        monkeypatch.setattr(simhash, "plan", lambda n, similarity: p)
+        kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert kept == {i for i, _ in rows if i % 2 == 0 or not similar[i // 2]}
+
+
 def test_exact_links_in_tiles(spark):
     rng = np.random.default_rng(9)
     base = [[f"w{x}" for x in rng.integers(0, 1 << 40, 60)] for _ in range(3)]
