@@ -1,11 +1,12 @@
 """Benchmark decontamination by template windows.
 
 Tokens are runs of letters and digits. A token with a digit becomes the placeholder of a number, a unit word after a
-number that of a unit, a capitalised word that of a name; the rest stays as it is, lower-cased. Windows of the template are joined by
-hash, so a question whose numbers and names were exchanged still meets its item. Slot consistency then decides: along one
-alignment, every value of the item must stand for one value of the document and the other way round.
+number that of a unit, a capitalised word that of a name; the rest stays as it is, lower-cased. Windows are joined by the hash
+of their own lower-cased words, so case does not matter, and by that of their template, so a question whose numbers and
+names were exchanged still meets its item. Slot consistency then decides: along one alignment, every value of the item must stand for one value of the document and
+the other way round.
 
-A window with fewer literal words than placeholders keeps its own words instead, on both sides, since bare placeholders
+A window with fewer literal words than placeholders is joined by its own words only, on both sides, since bare placeholders
 would meet anything. Items shorter than the window are windows of their own length.
 """
 
@@ -65,9 +66,12 @@ class Template:
             self.own = self.template = np.zeros(0, np.uint64)
             self.slot = np.zeros(0, bool)
             return
-        lower = np.frombuffer(self.text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        low = lower if len(lower) == len(codes) else codes
-        self.own = range_hashes(low.astype(np.uint64), self.start, self.end)
+        low, start, end = np.frombuffer(self.text.casefold().encode("utf-32-le", "surrogatepass"), np.uint32), self.start, self.end
+        if len(low) != len(codes):  # a sharp s becomes two letters
+            start, end = runs(_classes()[0][low])
+            if len(start) != self.n:
+                low, start, end = codes, self.start, self.end
+        self.own = range_hashes(low.astype(np.uint64), start, end)
         number = np.zeros(self.n, bool)
         number[np.searchsorted(self.start, np.flatnonzero(digit), "right") - 1] = True
         after = np.concatenate(([False], number[:-1]))
@@ -77,7 +81,7 @@ class Template:
         self.slot = number | unit | name
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Joining hash and own hash of every window of ``width`` tokens."""
+        """Template hash (own hash if most are placeholders) and own hash of every window of ``width`` tokens."""
         at = np.arange(max(0, self.n - width + 1))
         own = range_hashes(self.own, at, at + width)
         slots = np.concatenate(([0], np.cumsum(self.slot)))
@@ -88,7 +92,7 @@ class Template:
         """Values of the window's placeholders, each after its type."""
         kinds = {int(NUMBER): "#", int(UNIT): "u", int(NAME): "n"}
         return [
-            kinds[int(self.template[i])] + self.text[self.start[i] : self.end[i]].lower() for i in range(at, at + width) if self.slot[i]
+            kinds[int(self.template[i])] + self.text[self.start[i] : self.end[i]].casefold() for i in range(at, at + width) if self.slot[i]
         ]
 
 
@@ -96,7 +100,7 @@ _WINDOWS = "pos int, width int, h long, own long, slots array<string>, tokens in
 
 
 def windows(rows: DataFrame, *, key: str, text: str, widths: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, pos, width, h, own, slots, tokens) for every window of the given widths.
+    """(key, pos, width, h, own, slots, tokens) for every window of the given widths and each of its hashes h: own and template.
 
     Without ``widths`` one width per row: ``WIDTH``, or the row's own length if shorter. With ``wanted`` (sorted) only
     windows whose joining hash is among them.
@@ -105,20 +109,26 @@ def windows(rows: DataFrame, *, key: str, text: str, widths: list[int] | None =
     schema = f"key {dict(src.dtypes)['key']}, {_WINDOWS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.zeros(1 << 20, bool)  # by the first 20 bits, which rule out most
+        if wanted is not None:
+            maybe[wanted >> np.uint64(44)] = True
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             for i, text in enumerate(b.column(1)):
                 t = Template(text.as_py())
                 for width in widths or [max(1, min(WIDTH, t.n))]:
-                    h, own = t.windows(width)
-                    at = np.arange(len(h))
+                    template, own = t.windows(width)
+                    at = np.flatnonzero(template != own)
+                    h, at = np.concatenate((own, template[at])), np.concatenate((np.arange(len(own)), at))
                     if wanted is not None:
-                        near = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                        at = np.flatnonzero(wanted[near] == h) if len(wanted) else at[:0]
+                        some = np.flatnonzero(maybe[h >> np.uint64(44)])
+                        near = np.minimum(np.searchsorted(wanted, h[some]), len(wanted) - 1)
+                        some = some[wanted[near] == h[some]] if len(wanted) else some[:0]
+                        h, at = h[some], at[some]
                     out[0] += [i] * len(at)
                     out[1] += at.tolist()
                     out[2] += [width] * len(at)
-                    out[3] += h[at].view(np.int64).tolist()
+                    out[3] += h.view(np.int64).tolist()
                     out[4] += own[at].view(np.int64).tolist()
                     out[5] += [t.slots(j, width) for j in at.tolist()]
                     out[6] += [t.n] * len(at)
@@ -144,7 +154,7 @@ def leaks(
     """(key, item, item_tokens, matched_tokens, share, verbatim) for each document that holds an item.
 
     A document holds an item if windows of consistent alignments cover at least ``share`` of the item's tokens;
-    ``verbatim`` says that all of them agree word for word. Null and token-less texts hold nothing and are held by
+    ``verbatim`` says that all of them agree word for word, whatever their case. Null and token-less texts hold nothing and are held by
     nothing. Rows that repeat a key count as one document. Other columns are not read. Either table may be empty.
     """
     wanted = cut(windows(items, key=item, text=item_text).withColumnRenamed("key", "item"))
@@ -156,11 +166,13 @@ def leaks(
     found = windows(docs, key=key, text=text, widths=widths or [WIDTH], wanted=known).drop("tokens")
     theirs = wanted.select("item", "width", "h", F.col("pos").alias("item_pos"), F.col("own").alias("item_own"), F.col("slots").alias("item_slots"), "tokens")
     met = found.join(theirs, ["width", "h"])
-    paired = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    same = F.col("own") == F.col("item_own")
+    # the same words in another case may have other slots
+    paired = F.arrays_zip(F.col("item_slots").alias("a"), F.when(same, F.col("item_slots")).otherwise(F.col("slots")).alias("b"))
     aligned = met.groupBy("key", "item", "tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(paired))).alias("pairs"),
         F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)))).alias("covered"),
-        F.min(F.col("own") == F.col("item_own")).alias("verbatim"),
+        F.min(same).alias("verbatim"),
     )
     size = F.size("pairs")
     consistent = (F.size(F.array_distinct("pairs.a")) == size) & (F.size(F.array_distinct("pairs.b")) == size)

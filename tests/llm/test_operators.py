@@ -477,6 +477,13 @@ def test_parameters_exchanged(spark):
     assert decontam.leaks(docs, items.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_of_other_case(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = [(2 * i.item_id + k, f"so it says: {t} and so on") for i in items.collect() for k, t in enumerate((i.text.upper(), i.text.lower()))]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).filter("verbatim and share = 1").collect()}
+    assert got >= {(d, d // 2) for d, _ in rows}
+
+
 def test_leaks_without_filter(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     some = docs.limit(60)
