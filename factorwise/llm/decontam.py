@@ -3,8 +3,8 @@
 Tokens are runs of letters and digits. A token with a digit becomes the placeholder of a number, a unit word after a
 number that of a unit, a capitalised word that of a name; the rest stays as it is, lower-cased. Windows are joined by the hash
 of their own lower-cased words, so case does not matter, and by that of their template, so a question whose numbers and
-names were exchanged still meets its item. Slot consistency then decides: along one alignment, every value of the item must stand for one value of the document and
-the other way round.
+names were exchanged still meets its item. Windows that agree word for word always count. Of the others slot consistency decides: along one alignment, every value
+of the item must stand for one value of the document; two of its values may stand for the same.
 
 A window with fewer literal words than placeholders is joined by its own words only, on both sides, since bare placeholders
 would meet anything. Items shorter than the window are windows of their own length.
@@ -153,8 +153,8 @@ def leaks(
 ) -> DataFrame:
     """(key, item, item_tokens, matched_tokens, share, verbatim) for each document that holds an item.
 
-    A document holds an item if windows of consistent alignments cover at least ``share`` of the item's tokens;
-    ``verbatim`` says that all of them agree word for word, whatever their case. Null and token-less texts hold nothing and are held by
+    A document holds an item if verbatim windows and those of consistent alignments cover at least ``share`` of the
+    item's tokens; ``verbatim`` says that all of them agree word for word, whatever their case. Null and token-less texts hold nothing and are held by
     nothing. Rows that repeat a key count as one document. Other columns are not read. Either table may be empty.
     """
     wanted = cut(windows(items, key=item, text=item_text).withColumnRenamed("key", "item"))
@@ -166,18 +166,20 @@ def leaks(
     found = windows(docs, key=key, text=text, widths=widths or [WIDTH], wanted=known).drop("tokens")
     theirs = wanted.select("item", "width", "h", F.col("pos").alias("item_pos"), F.col("own").alias("item_own"), F.col("slots").alias("item_slots"), "tokens")
     met = found.join(theirs, ["width", "h"])
-    same = F.col("own") == F.col("item_own")
+    same, places = F.col("own") == F.col("item_own"), F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)
     # the same words in another case may have other slots
     paired = F.arrays_zip(F.col("item_slots").alias("a"), F.when(same, F.col("item_slots")).otherwise(F.col("slots")).alias("b"))
     aligned = met.groupBy("key", "item", "tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(paired))).alias("pairs"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)))).alias("covered"),
+        F.array_distinct(F.flatten(F.collect_list(places))).alias("all"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(same, places)))).alias("agreed"),
         F.min(same).alias("verbatim"),
     )
-    size = F.size("pairs")
-    consistent = (F.size(F.array_distinct("pairs.a")) == size) & (F.size(F.array_distinct("pairs.b")) == size)
+    consistent = F.size(F.array_distinct("pairs.a")) == F.size("pairs")
     return (
-        aligned.filter(consistent | F.col("verbatim"))
+        aligned.withColumn("covered", F.when(consistent, F.col("all")).otherwise(F.col("agreed")))
+        .withColumn("verbatim", ~consistent | F.col("verbatim"))
+        .filter(F.size("covered") > 0)
         .groupBy("key", "item", "tokens")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("matched_tokens"), F.min("verbatim").alias("verbatim"))
         .withColumn("share", F.col("matched_tokens") / F.col("tokens"))

@@ -500,6 +500,14 @@ def test_leaks_odd(odd, spark):
 
 
 # -- op8 ------------------------------------------------------------------------------------------------------------
+def test_verbatim_windows_and_equal_values(spark):
+    ask = "{0} has {1} apples and buys {2} more at the small market near the old bridge. How many apples does {3} have at the end of the day?"
+    items = spark.createDataFrame([(1, ask.format("Tom", 3, 5, "Tom"))], "item_id long, text string")
+    rows = [(1, ask.format("Tom", 3, 5, "Tim")), (2, ask.format("Tom", 4, 4, "Tom"))]
+    got = {r.doc_id: r.verbatim for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: True, 2: False}
+
+
 
 
 def test_exact_dedup_splits_and_chains(spark):
