@@ -3,7 +3,7 @@
 A text becomes a vector of hashed character n-grams (one to three letters, words bounded by a blank), weighted by
 sublinear term frequency times inverse document frequency and scaled to length one. Every language has several
 centroids from spherical k-means; a text takes the language of the centroid with the largest cosine. A text whose
-distance (1 - cosine) is far above what labelled texts of its length show is rejected.
+cosine is far below what rightly identified texts of its length show is rejected.
 
 Document frequencies and rejection limits use all labelled rows; only the clustering uses a bounded sample
 (``per_lang`` rows of each language, chosen by hash). The model is (languages x clusters x buckets) floats, at most
@@ -153,30 +153,29 @@ def nearest(docs: DataFrame, model: Model | None, *, key: str, text: str = "text
 
 
 def identify(
-    docs: DataFrame, *, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", deviations: float = 8.0, floor: float = 0.02, **fitted
+    docs: DataFrame, *, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", part: float = 0.4, floor: float = 0.2, **fitted
 ) -> DataFrame:
     """One row per row of ``docs``: key, lang_pred, score (cosine), rejected.
 
     Learns from rows where ``train`` holds and ``lang`` is not null; language, source and key are no inputs of a
     prediction. A null text, one without a letter, or no training row at all gives ``und``, 0 and rejected. Otherwise
-    a row is rejected if its cosine is below ``floor`` or more than ``deviations`` standard deviations below the mean of the
-    labelled rows with about as many n-grams (bands by powers of two; a band of fewer than 50 uses the widest limit).
+    a row is rejected if its cosine is below ``floor`` or below ``part`` of the median of the labelled rows that are
+    predicted right and have about as many n-grams (bands by powers of two). A band of fewer than 50 such rows takes the
+    limit of the nearest shorter band that has them, as cosines rise with length; without one it takes ``floor``.
     Ties between centroids go to the first language in order. Repeated rows stay; other columns are not read.
     """
     model = fit(docs.filter(train), text=text, lang=lang, **fitted)
     right = F.coalesce(train, F.lit(False)) & F.col(lang).isNotNull()
-    rows = cut(nearest(docs, model, key=key, text=text, extra={"labelled": right}).withColumn("band", F.floor(F.log2(F.col("grams") + 1)).cast("int")))
-    limits = (
-        rows.filter("labelled and lang_pred <> 'und'")
-        .groupBy("band")
-        .agg((F.mean("score") - deviations * F.stddev_pop("score")).alias("least"), F.count(F.lit(1)).alias("n"))
-    )
-    # at most 64 bands
-    known = {r.band: r.least for r in limits.filter("n >= 50").collect()}
-    widest = min(known.values(), default=0.0)
-    least = F.lit(max(widest, floor))
-    for band, value in known.items():
-        least = F.when(F.col("band") == band, F.lit(max(value, floor))).otherwise(least)
+    extra = {"labelled": right, "lang": F.col(lang)}
+    rows = cut(nearest(docs, model, key=key, text=text, extra=extra).withColumn("band", F.floor(F.log2(F.col("grams") + 1)).cast("int")))
+    # medians to a thousandth, from at most 64 bands of 1001 counts
+    counts = rows.filter("labelled and lang_pred = lang and grams > 0").groupBy("band", F.round(F.col("score") * 1000).cast("int").alias("score")).count()
+    least = F.lit(floor)
+    for band, scores in sorted(counts.toPandas().sort_values("score").groupby("band")):
+        n = scores["count"].cumsum()
+        if n.iloc[-1] >= 50:
+            median = scores["score"].iloc[int(np.searchsorted(n, n.iloc[-1] / 2))] / 1000
+            least = F.when(F.col("band") >= int(band), F.lit(max(part * float(median), floor))).otherwise(least)
     return rows.select(F.col("key").alias(key), "lang_pred", "score", ((F.col("lang_pred") == "und") | (F.col("score") < least)).alias("rejected"))
 
 

@@ -305,6 +305,22 @@ def test_language_id_rejects(spark, docs):
     assert all(got[10**6 + i].rejected for i in range(5))
 
 
+def test_language_id_rejects_latin_script(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [
+        "La ricerca della verità richiede pazienza e coraggio, perché ogni giorno le persone incontrano difficoltà nuove. Nella piazza del paese i bambini giocano. ",
+        "Wczoraj wieczorem poszliśmy do lasu, żeby zbierać grzyby, ale zaczął padać deszcz i musieliśmy szybko wrócić do domu. Dzieci bawiły się w ogrodzie. ",
+        "Eilen illalla menimme metsään poimimaan sieniä, mutta alkoi sataa ja meidän piti palata nopeasti kotiin. Seuraavana päivänä aurinko paistoi. ",
+        "def load(path): return json.loads(open(path).read()) if os.path.exists(path) else None; for i in range(len(xs)): ys.append(foo(xs[i], bar=baz[i])) ",
+    ]
+    junk = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz    "), 6000))
+    rows = [(t * 40)[:n] for t in [*texts, junk] for n in (60, 150, 400, 1500, 6000)]
+    foreign = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(rows)], docs.schema)
+    got = langid.identify(docs.union(foreign), train=~langid.held_out()).collect()
+    assert [r for r in got if r.doc_id >= 10**6 and not r.rejected] == []
+    assert sum(r.rejected for r in got if r.doc_id < 10**6) / docs.count() < 0.01
+
+
 def test_language_id_odd(odd, none):
     got = langid.identify(odd, train=~langid.held_out()).collect()
     assert len(got) == 11
