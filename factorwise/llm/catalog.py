@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from factorwise.llm import chaining, decontam, exact_dedup, langid, mixing, secrets, sharding, simhash, suffix_dedup, urlfilter
+from factorwise.llm import (
+    chaining, decontam, exact_dedup, kmeans, langid, mixing, secrets, sharding, simhash, spelling, suffix_dedup, tokens, urlfilter,
+)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,8 +17,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_sharding": sharding.op10_sharding,
+    "op11_token_counts": tokens.op11_token_counts,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_centroid_clustering": kmeans.op13_centroid_clustering,
 }
 SQL = {
     "op4_url_filter": urlfilter.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_centroid_clustering": kmeans.OP13_SQL,
 }
