@@ -6,7 +6,7 @@ from factorwise.operators import evaluation, features, sampling
 from factorwise.plans import views as v
 from factorwise.plans.catalog import Catalog
 from factorwise.plans.catalog.dashboard import ASOF
-from factorwise.plans.catalog.graph import _CASCADE, _RINGS, findings
+from factorwise.plans.catalog.graph import findings
 from factorwise.plans.materialise import stage_table
 
 catalog = Catalog()
@@ -56,8 +56,7 @@ def feature_frame(spark, sf):
 
 @catalog.add(
     "feature_vector",
-    "with recursive " + _RINGS.strip() + ",\n" + _CASCADE.strip() + ",\n" + _HIST + ",\n" + _VELO + """,
-counted as (select week, company, count(*) as ring_count from (select week, unnest(path) as company from ring) group by 1, 2)
+    "with " + _HIST + ",\n" + _VELO + """
 select s.invoice_id, s.amount::double as amount, round(ln(1 + s.amount::double), 6) as amount_log, 1.0::double as has_po, (s.grn_number is not null)::int::double as has_grn,
   1.0::double as currency_inr, round(duplicate_risk_score, 6) as duplicate_risk_score, is_exact_duplicate::int::double as is_exact_duplicate,
   candidate_count::double as lsh_candidate_count, 0.0::double as max_semantic_similarity, match_score, coalesce(po_match_score, 0) as po_match_score,
@@ -65,7 +64,7 @@ select s.invoice_id, s.amount::double as amount, round(ln(1 + s.amount::double),
   coalesce(ring_count, 0)::double as carousel_ring_count, coalesce(cascade_depth, 0)::double as cascade_depth, coalesce(exposure, 0)::double as cascade_exposure,
   invoice_count::double as supplier_degree, 365.0::double as supplier_age_days, round(avg_amount, 4) as supplier_avg_amount, round(fraud_rate, 6) as supplier_fraud_rate,
   round(s.amount::double / avg_amount, 6) as amount_vs_supplier_avg, n_7d::double as invoices_last_7d, n_30d::double as invoices_last_30d, amount_7d as amount_last_7d
-from scored s join rooted r on r.invoice_id = s.invoice_id left join counted k on k.week = r.week and k.company = r.company
+from scored s join rooted r on r.invoice_id = s.invoice_id left join ring_day k on k.day = r.invoice_date and k.company = r.company
 left join cascade c on c.invoice_id = s.invoice_id join hist using (supplier_id) join velo on velo.supplier_id = s.supplier_id and velo.invoice_date = s.invoice_date""",
 )
 def _(spark, sf):

@@ -1,35 +1,38 @@
-"""Trade-graph queries. Path queries run over every trading week of the whole table."""
+"""Trade-graph queries. Path queries run in rolling windows over the whole table, so no calendar boundary cuts a ring or a chain."""
 
 from pyspark.sql import functions as F
 
-from factorwise.operators import graph
+from factorwise.operators import graph, temporal
 from factorwise.plans import views as v
 from factorwise.plans.catalog import Catalog
 from factorwise.plans.materialise import stage_table
 
 catalog = Catalog()
-WEEK = ["week"]
+WINDOW = ["window_start"]
 
 
 def edges(spark, sf):
     return stage_table(spark, "edges", sf, lambda: v.trade_edges(spark, sf))
 
 
+def trades(spark, sf):
+    return stage_table(spark, "trades", sf, lambda: v.trades(spark, sf))
+
+
 def rings(spark, sf):
-    return stage_table(spark, "rings", sf, lambda: graph.carousel_rings(edges(spark, sf), slices=WEEK))
+    return stage_table(spark, "rings", sf, lambda: temporal.rolling_rings(trades(spark, sf)))
 
 
 def cascades(spark, sf):
-    inv = v.company_invoices(spark, sf)
-    return stage_table(spark, "cascades", sf, lambda: graph.cascade_trace(inv, inv, edges(spark, sf), max_hops=3))
+    return stage_table(spark, "cascades", sf, lambda: temporal.cascade_totals(v.company_invoices(spark, sf), trades(spark, sf)))
 
 
 def findings(spark, sf):
     """Ring and cascade findings of every invoice."""
     inv = v.company_invoices(spark, sf)
-    members = graph.ring_membership(rings(spark, sf), slices=WEEK)
+    members = temporal.ring_days(rings(spark, sf)).withColumnRenamed("day", "invoice_date")
     return (
-        inv.join(members, ["week", "company"], "left")
+        inv.join(members, ["company", "invoice_date"], "left")
         .join(cascades(spark, sf), "invoice_id", "left")
         .select(
             "invoice_id",
@@ -42,6 +45,20 @@ def findings(spark, sf):
     )
 
 
+def ring_centers(spark, sf):
+    """Companies of the rings, each in the ring's first window: the neighbourhoods worth a look."""
+    first = temporal.first_windows(rings(spark, sf))
+    return stage_table(spark, "ring-centers", sf, lambda: first.select("window_start", F.explode("members").alias("source")).distinct())
+
+
+def window_edges(spark, sf):
+    """Trades of each window of seven days that has a centre."""
+    wide = temporal.in_windows(trades(spark, sf), before=0, after=6)
+    wide = wide.join(ring_centers(spark, sf).select("window_start").distinct(), "window_start", "left_semi")
+    summed = wide.groupBy("window_start", "src", "dst").agg(F.sum("invoice_count").alias("invoice_count"))
+    return stage_table(spark, "window-edges", sf, lambda: summed)
+
+
 _NODES = """
 select entity_id as id, entity_type as node_type, name, risk_score, is_flagged, tier, sector, null::double as amount, null::date as date,
   null::varchar as status from ent
@@ -78,66 +95,53 @@ def _(spark, sf):
     return merged.where(F.col("rel_type") == graph.SUPPLIES).withColumn("amount", F.round("amount", 2))
 
 
-_RINGS = """
-walk as (
-  select week, src as start, dst as node, [src, dst] as path, 1 as hops from edges where dst > src
-  union all
-  select w.week, w.start, e.dst, list_append(w.path, e.dst), w.hops + 1 from walk w join edges e on e.week = w.week and e.src = w.node
-  where w.hops < 5 and e.dst > w.start and not list_contains(w.path, e.dst)),
-ring as (select w.week, w.path, len(w.path) as ring_length from walk w join edges e on e.week = w.week and e.src = w.node and e.dst = w.start)"""
-
-
-@catalog.add("carousel_rings", "with recursive " + _RINGS.strip() + "\nselect week, array_to_string(path, '>') as ring, ring_length from ring")
+@catalog.add(
+    "carousel_rings",
+    """select window_start, array_to_string(members, '>') as ring, ring_length from (
+  select *, lag(window_start) over (partition by members order by window_start) as earlier from ring)
+where earlier is null or window_start - earlier >= 7""",
+)
 def _(spark, sf):
-    found = graph.carousel_rings(edges(spark, sf), slices=WEEK)
-    return found.select("week", F.array_join("members", ">").alias("ring"), "ring_length")
-
-
-_CASCADE = """
-rooted as (select invoice_id, supplier_key as company, invoice_date, amount, cast(date_trunc('week', invoice_date) as date) as week from inv),
-answer as (
-  select k.week, k.company, k.invoice_date as root_date, i.invoice_id, i.invoice_date, i.amount
-  from (select distinct week, company, invoice_date from rooted) k join reach r on r.week = k.week and r.source = k.company
-  join rooted i on i.company = r.node and i.invoice_date between k.invoice_date - 1 and k.invoice_date + 3),
-cascade as (
-  select o.invoice_id, count(*) as cascade_depth, sum(a.amount)::double as exposure
-  from rooted o join answer a on a.week = o.week and a.company = o.company and a.root_date = o.invoice_date and a.invoice_id <> o.invoice_id
-  group by 1)"""
+    found = temporal.first_windows(temporal.rolling_rings(trades(spark, sf)))
+    return found.select("window_start", F.array_join("members", ">").alias("ring"), "ring_length")
 
 
 @catalog.add(
     "cascade_trace",
-    "with " + _CASCADE.strip()
-    + "\nselect invoice_id, coalesce(cascade_depth, 0) as cascade_depth, coalesce(exposure, 0) as exposure from inv left join cascade using (invoice_id)",
+    "select invoice_id, coalesce(cascade_depth, 0) as cascade_depth, coalesce(exposure, 0) as exposure from inv left join cascade using (invoice_id)",
 )
 def _(spark, sf):
-    inv = v.company_invoices(spark, sf)
-    return graph.cascade_trace(inv, inv, edges(spark, sf), max_hops=3)
+    return temporal.cascade_totals(v.company_invoices(spark, sf), trades(spark, sf))
 
 
 _EGO = """
-und as (select week, src, dst from edges union select week, dst, src from edges),
+center as (select distinct window_start, unnest(members) as center_id from (
+  select *, lag(window_start) over (partition by members order by window_start) as earlier from ring) where earlier is null or window_start - earlier >= 7),
+und as (select window_start, src, dst from hops7 union select window_start, dst, src from hops7),
 ego as (
-  select week, center_id, node_id, min(hop) as hop from (
-    select week, src as center_id, src as node_id, 0 as hop from und
-    union all select week, src, dst, 1 from und
-    union all select a.week, a.src, b.dst, 2 from und a join und b on b.week = a.week and b.src = a.dst) group by 1, 2, 3)"""
+  select window_start, center_id, node_id, min(hop) as hop from (
+    select window_start, center_id, center_id as node_id, 0 as hop from center
+    union all select c.window_start, center_id, a.dst, 1 from center c join und a on a.window_start = c.window_start and a.src = center_id
+    union all select c.window_start, center_id, b.dst, 2 from center c join und a on a.window_start = c.window_start and a.src = center_id
+      join und b on b.window_start = a.window_start and b.src = a.dst) group by 1, 2, 3)"""
 
 
 @catalog.add("ego_network", "with " + _EGO.strip() + "\nselect * from ego")
 def _(spark, sf):
-    return graph.ego_network(edges(spark, sf), depth=2, slices=WEEK)
+    return graph.ego_network(window_edges(spark, sf), depth=2, centers=ring_centers(spark, sf), slices=WINDOW)
 
 
 @catalog.add(
     "ego_edges",
     "with " + _EGO.strip() + """
-select e.week, a.center_id, e.src, e.dst, e.invoice_count as weight from edges e join ego a on a.week = e.week and a.node_id = e.src
-join ego b on b.week = e.week and b.node_id = e.dst and b.center_id = a.center_id""",
+select t.window_start, a.center_id, t.src, t.dst, t.weight from (
+  select cast(day - k::int as date) as window_start, src, dst, sum(invoice_count)::bigint as weight from trades, range(7) r(k) group by 1, 2, 3) t
+join ego a on a.window_start = t.window_start and a.node_id = t.src
+join ego b on b.window_start = t.window_start and b.node_id = t.dst and b.center_id = a.center_id""",
 )
 def _(spark, sf):
-    e = edges(spark, sf)
-    return graph.ego_edges(graph.ego_network(e, depth=2, slices=WEEK), e, slices=WEEK)
+    e = window_edges(spark, sf)
+    return graph.ego_edges(graph.ego_network(e, depth=2, centers=ring_centers(spark, sf), slices=WINDOW), e, slices=WINDOW)
 
 
 @catalog.add(
@@ -160,9 +164,20 @@ def _(spark, sf):
     return graph.graph_stats(graph.graph_nodes(v.entities(spark, sf), inv), graph.graph_edges(inv))
 
 
-@catalog.add("reachability", "select * from reach")
+@catalog.add(
+    "reachability",
+    """select root_date, source, count(*) as reached, bool_or(source = node) as circular, round(coalesce(sum(total), 0)::double, 2) as amount
+from reach left join offered using (root_date, node) group by 1, 2""",
+)
 def _(spark, sf):
-    return graph.reachability(edges(spark, sf), max_hops=3, slices=WEEK)
+    """Companies and invoice amounts within reach of every company that trades on a day, by any number of trades of the days around."""
+    window = {"before": 1, "after": 3, "name": "root_date"}
+    inv = v.company_invoices(spark, sf)
+    sold = temporal.in_windows(inv, **window, day="invoice_date").groupBy("root_date", F.col("company").alias("node")).agg(F.sum("amount").alias("amount"))
+    near = temporal.in_windows(trades(spark, sf), **window)
+    totals = temporal.reach_totals(near, slices=["root_date"], weights=sold, measures=["amount"])
+    asked = inv.select(F.col("invoice_date").alias("root_date"), F.col("company").alias("source")).distinct()
+    return totals.join(asked, ["root_date", "source"], "left_semi").withColumn("amount", F.round(F.col("amount").cast("double"), 2))
 
 
 _FEATS = """
@@ -195,9 +210,7 @@ def _(spark, sf):
 
 @catalog.add(
     "graph_flags",
-    "with recursive " + _RINGS.strip() + ",\n" + _CASCADE.strip() + """,
-member_of as (select distinct week, unnest(path) as company from ring)
-select invoice_id, 'carousel_trade' as pattern from rooted join member_of using (week, company)
+    """select invoice_id, 'carousel_trade' as pattern from rooted r join ring_day d on d.company = r.company and d.day = r.invoice_date
 union all select invoice_id, 'cascade_amplification' from cascade""",
 )
 def _(spark, sf):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factorwise.operators import scoring
 from factorwise.plans import views as v
 from factorwise.plans.catalog import Catalog
-from factorwise.plans.catalog.graph import _CASCADE, _RINGS, findings
+from factorwise.plans.catalog.graph import findings
 
 catalog = Catalog()
 
@@ -19,10 +19,9 @@ def invoice_signals(spark, sf):
     return scoring.signal_scores(with_graph(spark, sf))
 
 
-_GRAPH = "with recursive " + _RINGS.strip() + ",\n" + _CASCADE.strip() + """,
-member_of as (select distinct week, unnest(path) as company from ring),
+_GRAPH = """with
 found as (select s.*, m.company is not null as has_carousel, coalesce(c.cascade_depth, 0) as depth, coalesce(c.exposure, 0) as exposure
-  from scored s join rooted r on r.invoice_id = s.invoice_id left join member_of m on m.week = r.week and m.company = r.company
+  from scored s join rooted r on r.invoice_id = s.invoice_id left join ring_day m on m.day = r.invoice_date and m.company = r.company
   left join cascade c on c.invoice_id = s.invoice_id)"""
 _SIGNALS = """
 signal as (select invoice_id, fraud_score as dnn, round(duplicate_risk_score * 0.5e0, 6) as isolation_forest, 0e0 as siamese,

@@ -217,12 +217,50 @@ select cast(date_trunc('week', invoice_date) as date) as week, supplier_key as s
   count(*) as invoice_count, sum(amount) as amount, min(invoice_date) as since
 from inv where supplier_key <> buyer_key % (select count(*) from supplier) group by 1, 2, 3"""
 
+VIEWS["trades"] = """
+select invoice_date as day, supplier_key as src, buyer_key % (select count(*) from supplier) as dst, count(*) as invoice_count
+from inv where supplier_key <> buyer_key % (select count(*) from supplier) group by 1, 2, 3"""
+
+VIEWS["hops7"] = """
+select distinct cast(day - k::int as date) as window_start, src, dst from trades, range(7) r(k)"""
+
+# every walk from a window's first trades, from the end of the trade on
+VIEWS["ring"] = """
+select distinct window_start, list_concat(members[pos:], members[1:pos - 1]) as members, len(members) as ring_length from (
+  select window_start, members, list_position(members, list_min(members)) as pos from (
+    with recursive walk(window_start, u, node, path) as (
+      select day, src, dst, [src, dst] from trades
+      union all
+      select w.window_start, w.u, h.dst, list_append(w.path, h.dst) from walk w join hops7 h on h.window_start = w.window_start and h.src = w.node
+      where len(w.path) < 6 and not list_contains(w.path, h.dst))
+    select w.window_start, w.path as members from walk w join hops7 h on h.window_start = w.window_start and h.src = w.node and h.dst = w.u))"""
+
+VIEWS["ring_day"] = """
+select company, day, count(*) as ring_count from (
+  select day, unnest(members) as company from (select distinct cast(window_start + k::int as date) as day, members from ring, range(7) r(k))) group by 1, 2"""
+
+VIEWS["rooted"] = """
+select invoice_id, supplier_key as company, invoice_date, amount from inv"""
+
+VIEWS["hops5"] = """
+select distinct cast(day + k::int as date) as root_date, src, dst from trades, range(-3, 2) r(k)"""
+
 VIEWS["reach"] = """
-select week, source, node, min(hops) as hops from (
-  with recursive r(week, source, node, hops) as (
-    select week, src, dst, 1 from edges
-    union select r.week, r.source, e.dst, r.hops + 1 from r join edges e on e.week = r.week and e.src = r.node where r.hops < 3)
-  select * from r) group by 1, 2, 3"""
+select root_date, source, node from (
+  with recursive r(root_date, source, node) as (
+    select h.root_date, h.src, h.dst from hops5 h semi join rooted o on o.invoice_date = h.root_date and o.company = h.src
+    union select r.root_date, r.source, h.dst from r join hops5 h on h.root_date = r.root_date and h.src = r.node)
+  select * from r)"""
+
+VIEWS["offered"] = """
+select d.root_date, company as node, count(*) as n, sum(amount) as total
+from rooted join (select distinct invoice_date as root_date from rooted) d on invoice_date between d.root_date - 1 and d.root_date + 3 group by 1, 2"""
+
+VIEWS["cascade"] = """
+select o.invoice_id, n - own::int as cascade_depth, (total - case when own then o.amount else 0 end)::double as exposure
+from rooted o join (
+  select root_date, source, sum(n) as n, sum(total) as total, bool_or(source = node) as own from reach join offered using (root_date, node) group by 1, 2) k
+  on k.root_date = o.invoice_date and k.source = o.company where n > own::int"""
 
 VIEWS["feed"] = """
 select invoice_id as feed_id, order_id, concat('feed-', supplier_key % 10, '.csv') as source_file, order_id % 101 = 0 as blank,
@@ -300,7 +338,7 @@ def q(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in needed)
+    ctes = ",\n".join(f"{n} as materialized ({VIEWS[n].strip()})" for n in needed)  # one plan for a view, whatever reads it
     body = body.strip()
     own = re.match(r"with( recursive)?\s+", body)
     if own:  # the query brings common table expressions of its own

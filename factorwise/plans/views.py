@@ -293,6 +293,17 @@ def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Company-to-company trades by day; buyers are mapped onto companies as in ``trade_edges``."""
+    n = table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+    inv = invoices(spark, sf).select(
+        F.col("invoice_date").alias("day"), F.col("supplier_key").alias("src"), (F.col("buyer_key") % n).alias("dst"), "amount"
+    )
+    return inv.where(F.col("src") != F.col("dst")).groupBy("day", "src", "dst").agg(
+        F.count(F.lit(1)).alias("invoice_count"), F.sum("amount").alias("amount")
+    )
+
+
 def company_invoices(spark: SparkSession, sf: str) -> DataFrame:
     return invoices(spark, sf).select(
         "invoice_id", F.col("supplier_key").alias("company"), "invoice_date", "amount",
