@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from difflib import SequenceMatcher
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from factorwise.functions.blocks import similarity
+
 WHITESPACE = " \t\n\r\f\v"
 
 
@@ -39,18 +40,22 @@ def header_key(name: str) -> str:
 
 
 FIELD, PAIR = "\x1f", "\x1e"
+#: Pairs of names a task remembers with their ratio.
+KNOWN_PAIRS = 1 << 17
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _sequence_ratios(texts: pd.Series) -> pd.Series:
-    """Ratios of the pairs packed into each text; every distinct text of a batch is worked once."""
-
-    def ratios(text: str) -> list:
-        halves = [p.split(FIELD) for p in text.split(PAIR)]
-        return [SequenceMatcher(None, *h).ratio() if len(h) == 2 else None for h in halves]
-
-    known = {t: ratios(t) for t in texts.dropna().unique()}
-    return pd.Series([known.get(t) for t in texts], dtype=object)
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _packed_ratios(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Ratios of the pairs packed into each text; a task works every distinct pair once."""
+    known: dict[str, float | None] = {"": None}
+    for batch in batches:
+        rows = [None if t is None else t.split(PAIR) for t in batch.to_pylist()]
+        new = list({p for r in rows if r for p in r} - known.keys())
+        if len(known) > KNOWN_PAIRS:
+            known, new = {"": None}, list({p for r in rows if r for p in r} - {""})
+        halves = [p.split(FIELD) for p in new]
+        known.update(zip(new, similarity([h[0] for h in halves], [h[1] for h in halves]).tolist()))
+        yield pa.array([None if r is None else [known[p] for p in r] for r in rows], pa.list_(pa.float64()))
 
 
 def name_ratios(pairs: Sequence[tuple[Column, Column]], *, cut: float = 0.0) -> list[Column]:
@@ -58,8 +63,9 @@ def name_ratios(pairs: Sequence[tuple[Column, Column]], *, cut: float = 0.0) ->
 
     Equal names and names where one contains the other have a closed form and
     stay in the JVM. What is left of a row's pairs goes to Python as one packed
-    text, which is null for nearly all rows. (From 200 characters on the matcher
-    ignores very frequent characters, so the closed form ends there.) Where only
+    text, which is null for nearly all rows; there the distinct pairs of a batch
+    are matched together in arrays (``blocks``). (From 200 characters on very
+    frequent characters start no block, so the closed form ends there.) Where only
     "at least ``cut``" matters, pairs whose lengths alone rule that out get that
     upper bound as their value and stay in the JVM too.
     """
@@ -75,7 +81,7 @@ def name_ratios(pairs: Sequence[tuple[Column, Column]], *, cut: float = 0.0) ->
         parts.append(F.when(hard, F.concat(left, F.lit(FIELD), right)).otherwise(F.lit("")))
         closed_forms.append(F.when((n == 0) | (m == 0), F.lit(0.0)).when(closed | beyond, bound))
     packed = F.when(reduce(Column.__or__, hard_flags), F.concat_ws(PAIR, *parts))
-    worked = _sequence_ratios(packed)
+    worked = _packed_ratios(packed)
     return [F.coalesce(c, F.get(worked, F.lit(i))) for i, c in enumerate(closed_forms)]
 
 
