@@ -6,11 +6,12 @@ the least total frequency. One edit cannot hit both. So of two words one edit ap
 the order has a pivot that stands unharmed in the other's prefix.
 
 Position limits: an edit behind the first pivot leaves the word up to that pivot as it is, one before it leaves the word from
-the second pivot on. The index therefore holds two entries per word, the first pivot with all to its left and the second with
-all to its right, and a prefix gram probes with each of its sides; the shift by the edit is in the side's length. A bigram
-that a third of all words share thus falls apart into as many keys as it has different surroundings.
+the second pivot on. The index therefore holds two entries per word and length of the other word (one less, equal, one more):
+the first pivot with all to its left and the second with all to its right. A prefix gram probes with each of its sides and
+its word's length; the shift by the edit is in the side's length. A bigram that a third of all words share thus falls apart
+into as many keys as it has different surroundings.
 
-Verification: length, letters by bit mask, then the edit distance with a limit of one, all inside the join. A pair is found
+Verification: letters by bit mask, then the edit distance with a limit of one, all inside the join. A pair is found
 once: an entry of the second kind only counts where the first kind could not have met.
 
 Scale: occurrences are counted with map-side partials before anything is shuffled. The order of bigrams needs 65,536 counts
@@ -148,28 +149,24 @@ def links(words: DataFrame, counts: np.ndarray) -> DataFrame:
     """(a, an, b, bn): each pair of words exactly one edit apart, once. ``words`` holds distinct (word, n) of 4 code points or more."""
     signed = words.withColumn("s", _signatures(F.col("word"), counts)).select("word", "n", "s.*")
 
-    def left(word: Column, at: Column) -> Column:
-        return F.xxhash64(F.substring(word, F.lit(1), at + 2))
+    def sides(word: Column, first: Column, second: Column, size: Column) -> Column:
+        """What stands up to a gram and what stands from one on, each with the length of the word it may be found in."""
+        left, right = F.substring(word, F.lit(1), first + 2), F.substring(word, second + 1, F.length(word))
+        keys = ((False, F.xxhash64(left, size)), (True, F.xxhash64(F.lit(""), right, size)))
+        return F.array(*(F.struct(F.lit(tail).alias("tail"), h.alias("h")) for tail, h in keys))
 
-    def right(word: Column, at: Column) -> Column:
-        return F.xxhash64(F.lit(""), F.substring(word, at + 1, F.length(word)))
-
-    def side(kind: bool, h: Column) -> Column:
-        return F.struct(F.lit(kind).alias("tail"), h.alias("h"))
-
-    w = F.col("word")
     index = signed.select(
-        F.col("word").alias("a"), F.col("n").alias("an"), F.col("first").alias("cut"), F.col("last").alias("al"), F.col("letters").alias("am"),
-        F.inline(F.array(side(False, left(w, F.col("first"))), side(True, right(w, F.col("second"))))),
+        F.col("word").alias("a"), F.col("n").alias("an"), F.col("first").alias("cut"), F.col("last").alias("al"), F.col("letters").alias("am"), "second",
+        F.explode(F.sequence(F.length("word") - 1, F.length("word") + 1)).alias("size"),
     )
+    index = index.select("a", "an", "cut", "al", "am", F.inline(sides(F.col("a"), F.col("cut"), F.col("second"), F.col("size"))))
     probes = signed.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("last").alias("bl"), F.col("letters").alias("bm"), F.explode("probe").alias("at"))
-    probes = probes.select("b", "bn", "bl", "bm", F.inline(F.array(side(False, left(F.col("b"), F.col("at"))), side(True, right(F.col("b"), F.col("at"))))))
+    probes = probes.select("b", "bn", "bl", "bm", F.inline(sides(F.col("b"), F.col("at"), F.col("at"), F.length("b"))))
     later = (F.col("bl") > F.col("al")) | ((F.col("bl") == F.col("al")) & (F.col("b") > F.col("a")))
-    close = F.abs(F.length("a") - F.length("b")) <= 1
     letters = F.bit_count(F.col("am").bitwiseXOR(F.col("bm"))) <= 2
     head = F.col("cut") + 2
     once = ~F.col("tail") | (F.substring("a", F.lit(1), head) != F.substring("b", F.lit(1), head))
-    found = index.join(probes, ["tail", "h"]).filter(later & close & letters & once)
+    found = index.join(probes, ["tail", "h"]).filter(later & letters & once)
     return found.filter(F.levenshtein("a", "b", 1) == 1).select("a", "an", "b", "bn")
 
 
