@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from factorwise.functions.text import present
 from factorwise.functions.vectors import clip
 from factorwise.operators.lookup import is_flagged
+from factorwise.plans.materialise import cut_lineage
 from factorwise.plans.ordered import exact_quantiles, number_rows, with_halo
 
 # Order of the feature vector, renamed source columns, fraud states.
@@ -222,17 +223,38 @@ def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return numeric.withColumns({c: F.coalesce(F.col(c), F.lit(fitted.get(c)).cast("double")) for c in cols})
 
 
+#: Codes of a column that are broadcast to its rows; beyond it the join shuffles.
+BROADCAST_CODES = 100_000
+
+
+def code_dictionary(df: DataFrame, cols: Sequence[str], *, slices: int | None = None) -> DataFrame:
+    """column (its number in ``cols``), value, slice, code: rank of each text among its column's distinct texts, from 0.
+
+    Distinct texts of all columns are cut into ranges of about equal size, sorted range by range and numbered after the sizes
+    of the ranges before, so neither many texts nor a common beginning puts them into one task. ``slices`` is
+    the number of ranges (default: the session's shuffle partitions). Null is the text UNKNOWN.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = [F.struct(F.lit(i).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN")).alias("value")) for i, c in enumerate(cols)]
+    distinct = df.select(F.explode(F.array(*texts)).alias("e")).select("e.*").distinct()
+    # written once: the number of a range must not change between its two uses
+    ranged = cut_lineage(distinct.repartitionByRange(n, "column", "value").withColumn("slice", F.spark_partition_id()))
+    numbered = number_rows(ranged, group=["column"], split=["slice"], order=["value"])
+    return numbered.select("column", "value", "slice", (F.col("position") - 1).cast("long").alias("code"))
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``<col>_enc``: rank of the text among the column's distinct texts, from 0; null is the text UNKNOWN.
 
-    Distinct texts are numbered in slices by their first characters, so a column of many texts is not sorted in one task.
+    One dictionary serves all columns; a column with up to BROADCAST_CODES texts adds no shuffle of the rows.
     """
+    codes = cut_lineage(code_dictionary(df, cols))
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
     out = df
-    for c in cols:
-        text = F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
-        distinct = df.select(text.alias("_v")).distinct().withColumn("_head", F.substring("_v", 1, 4))
-        codes = number_rows(distinct, group=[], split=["_head"], order=["_v"]).select("_v", (F.col("position") - 1).cast("long").alias(f"{c}_enc"))
-        out = out.withColumn("_v", text).join(codes, "_v").drop("_v")
+    for i, c in enumerate(cols):
+        own = codes.where(F.col("column") == i).select(F.col("value").alias("_v"), F.col("code").alias(f"{c}_enc"))
+        own = F.broadcast(own) if sizes.get(i, 0) <= BROADCAST_CODES else own
+        out = out.withColumn("_v", F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))).join(own, "_v").drop("_v")
     return out
 
 

@@ -152,22 +152,27 @@ def training_pairs(
 
 
 def weighted_resample(df: DataFrame, *, key: str, label: str = "label", seed: int = 42) -> DataFrame:
-    """About n rows drawn with replacement, positives weighted neg/pos: column ``copy`` numbers the draws.
+    """As many rows as ``df`` has, drawn with replacement, half of them positive: column ``copy`` numbers a row's draws.
 
-    A row whose share of n is m comes floor(m) times and once more with probability m - floor(m), read off one
-    hash: class totals hold at any rate and no global draw is needed. Copies are made in two
-    steps, so a row that comes a million times never builds a list of that length.
+    Every draw picks a position of its class by a hash, so the copies of a class's rows are multinomial and class totals are
+    exact (n // 2 positives, the rest negatives; all from one class if the other is empty). Draws are counted
+    per position before they meet the rows, and copies are made in two steps: a row drawn a million times
+    is one count, never a list of that length. Labels other than 0 and 1 are not drawn. Keys should be unique.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    classes = sizes.agg(F.map_from_entries(F.collect_list(F.struct(label, "_n")))).scalar()  # one entry per class
-    pos, neg = F.coalesce(F.element_at(classes, 1), F.lit(0)), F.coalesce(F.element_at(classes, 0), F.lit(0))
-    weight = F.when(F.col(label) == 1, F.coalesce(F.try_divide(neg, pos), F.lit(1.0))).otherwise(1.0)
-    whole = F.when(pos > 0, neg * 2.0).otherwise(neg * 1.0)
-    mean = F.coalesce(F.try_divide(weight * (pos + neg), whole), F.lit(1.0))
-    base = F.floor(mean)
-    copies = base + (uniform(F.col(key), F.lit(seed)) < mean - base).cast("long")
+    sizes = {r[label]: r["_n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col(label).isin(0, 1)).collect()}  # two rows
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    ones = 0 if not pos else pos if not neg else (pos + neg) // 2
+    drawn = F.when(F.col("id") < ones, 1).otherwise(0)
+    size = F.when(F.col("id") < ones, F.lit(max(pos, 1))).otherwise(F.lit(max(neg, 1)))
+    draws = df.sparkSession.range(pos + neg).select(
+        drawn.alias("_class"), (F.pmod(F.xxhash64("id", F.lit("resample"), F.lit(seed)), size) + 1).alias("position")
+    )
+    counts = draws.groupBy("_class", "position").agg(F.count(F.lit(1)).alias("_copies"))
+    numbered = _numbered(df.where(F.col(label).isin(0, 1)), key, label, seed)
+    counted = numbered.join(counts, (F.col(label) == F.col("_class")) & (numbered["position"] == counts["position"])).select(
+        *df.columns, "_copies"
+    )
     block = 1024
-    counted = df.withColumn("_copies", copies).where("_copies > 0")
     blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"), F.lit(block).cast("long"))))
     upto = F.least(F.col("_copies"), F.col("_from") + block - 1)
     return blocks.withColumn("copy", F.explode(F.sequence(F.col("_from"), upto))).drop("_copies", "_from")

@@ -429,3 +429,35 @@ def test_cascade_counts_all(spark):
     late = inv.withColumn("invoice_date", F.when(F.col("invoice_id") == "root", F.col("invoice_date")).otherwise(F.date_add("invoice_date", 14)))
     got = {r["invoice_id"]: r["cascade_depth"] for r in graph.cascade_trace(inv.where("invoice_id = 'root'"), late, e, hours=480).collect()}
     assert got["root"] == 45
+
+
+def test_resample_is_multinomial(spark):
+    """Copies of a class's rows vary as draws with replacement do, in both classes; totals are exact."""
+    n, positives = 40_000, 4_000
+    df = spark.range(n).select("id", (F.col("id") < positives).cast("int").alias("label"))
+    got = sampling.weighted_resample(df, key="id").groupBy("label", "id").count().collect()
+    for label, size in ((1, positives), (0, n - positives)):
+        counts = np.array([r["count"] for r in got if r.label == label])
+        assert counts.sum() == n // 2
+        mean = n / 2 / size
+        whole = np.concatenate((counts, np.zeros(size - len(counts))))
+        assert abs(whole.var() / (mean * (1 - 1 / size)) - 1) < 0.1  # binomial variance
+        assert abs((whole == 0).mean() - math.exp(-mean)) < 0.01
+    again = sampling.weighted_resample(df.repartition(3), key="id").groupBy("label", "id").count().collect()
+    assert set(again) == set(got)
+    one = sampling.weighted_resample(df.where("id >= 39000 or id = 0"), key="id").groupBy("id").count().where("id = 0").first()
+    assert one["count"] == 500
+    assert sampling.weighted_resample(df.where("label = 0").limit(50), key="id").count() == 50
+    assert sampling.weighted_resample(df.limit(0), key="id").count() == 0
+
+
+def test_codes_of_prefixed_texts(spark):
+    df = spark.range(30_000).select(
+        F.format_string("Customer#%09d", (F.col("id") * 7919) % 20_011).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("b")
+    )
+    codes = features.code_dictionary(df, ["a", "b"], slices=200)
+    sizes = codes.groupBy("slice").count().agg(F.max("count")).first()[0]
+    assert sizes <= 0.012 * 20_011
+    got = features.label_encode(df, ["a", "b"]).collect()
+    want = {c: {x: i for i, x in enumerate(sorted({str(r[c]) if r[c] is not None else "UNKNOWN" for r in got}))} for c in "ab"}
+    assert len(got) == 30_000 and all(r[f"{c}_enc"] == want[c][str(r[c]) if r[c] is not None else "UNKNOWN"] for r in got for c in "ab")
