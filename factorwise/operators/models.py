@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, PCA, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, PCA, RobustScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factorwise.functions.vectors import dot, sigmoid
 from factorwise.operators.sampling import folds, uniform
+from factorwise.plans.materialise import cut_lineage
 
 PCA_VARIANCE = 0.95
 
@@ -39,23 +40,25 @@ def robust_scaler(train: DataFrame, cols: Sequence[str]) -> PipelineModel:
 
 
 def preprocessing(train: DataFrame, cols: Sequence[str], *, variance: float = PCA_VARIANCE) -> PipelineModel:
-    """Standard scaling and the leading components that hold ``variance`` of the total."""
-    scaled = Pipeline(
+    """Standard scaling and the leading components that hold ``variance`` of the total.
+
+    All components are fitted once; the last stage keeps the leading ones.
+    """
+    fitted = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(cols), outputCol="raw"),
             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
+            PCA(k=len(cols), inputCol="scaled", outputCol="all_components"),
         ]
     ).fit(train)
-    rows = scaled.transform(train)
-    full = PCA(k=len(cols), inputCol="scaled", outputCol="components").fit(rows)
-    share = np.cumsum(full.explainedVariance.toArray())
-    k = int(np.searchsorted(share, variance - 1e-12) + 1)
-    pca = PCA(k=min(k, len(cols)), inputCol="scaled", outputCol="components").fit(rows)
-    return PipelineModel(stages=[*scaled.stages, pca])
+    share = np.cumsum(fitted.stages[-1].explainedVariance.toArray())
+    k = min(int(np.searchsorted(share, variance - 1e-12) + 1), len(cols))
+    return PipelineModel(stages=[*fitted.stages, VectorSlicer(inputCol="all_components", outputCol="components", indices=list(range(k)))])
 
 
 def explained_variance(model: PipelineModel, spark) -> DataFrame:
-    ratios = [float(x) for x in model.stages[-1].explainedVariance.toArray()]
+    pca, kept = model.stages[-2:]
+    ratios = [float(x) for x in pca.explainedVariance.toArray()][: len(kept.getIndices())]
     rows = [(i + 1, r, s) for i, (r, s) in enumerate(zip(ratios, np.cumsum(ratios).tolist()))]
     return spark.createDataFrame(rows, "component int, ratio double, cumulative double")
 
@@ -180,10 +183,14 @@ def with_class_weight(df: DataFrame, *, label: str = "label") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, float(ratio)).otherwise(1.0))
 
 
+def boosted_trees(*, rounds: int = 20, depth: int = 5, seed: int = 42) -> GBTClassifier:
+    return GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+
+
 def train_ensemble(train: DataFrame, cols: Sequence[str], *, rounds: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Boosted trees on the meta features, positives weighted up."""
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), gbt]).fit(with_class_weight(train))
+    stages = [VectorAssembler(inputCols=list(cols), outputCol="features"), boosted_trees(rounds=rounds, depth=depth, seed=seed)]
+    return Pipeline(stages=stages).fit(with_class_weight(train))
 
 
 def feature_importance(model: PipelineModel, cols: Sequence[str], spark) -> DataFrame:
@@ -222,55 +229,85 @@ def pair_similarity_model(pairs: DataFrame):
     return LogisticRegression(labelCol="label", featuresCol="features", maxIter=50, regParam=0.001).fit(pair_features(pairs))
 
 
-def reconstruction_score(seqs: DataFrame, *, components: int = 6, class_prob: str | None = None) -> DataFrame:
+def reconstruction_score(seqs: DataFrame, *, held_out: Column, components: int = 6, class_prob: str | None = None) -> DataFrame:
     """end_id, score: 0.7 x class probability + 0.3 x sigmoid of the standardised reconstruction error.
 
+    Scaling, components, classifier and the error's mean and deviation are learned from rows that are not ``held_out``;
+    only held-out rows are scored.
     Windows are flattened and projected on their leading components. With
     orthonormal components the error is |x|^2 - |projection|^2: no inverse
     transform is materialised.
     """
-    flat = seqs.withColumn("features", array_to_vector(F.flatten("seq")))
-    prepared = StandardScaler(inputCol="features", outputCol="std", withMean=True, withStd=True).fit(flat).transform(flat)
-    projected = PCA(k=components, inputCol="std", outputCol="proj").fit(prepared).transform(prepared)
+    flat = cut_lineage(seqs.withColumns({"features": array_to_vector(F.flatten("seq")), "_held": held_out}))
+    learn = ~F.col("_held")
+    prepared = StandardScaler(inputCol="features", outputCol="std", withMean=True, withStd=True).fit(flat.where(learn)).transform(flat)
+    projected = PCA(k=components, inputCol="std", outputCol="proj").fit(prepared.where(learn)).transform(prepared)
     x, p = vector_to_array("std"), vector_to_array("proj")
     errors = projected.withColumns({"_x": x, "_p": p}).withColumn("error", (dot(F.col("_x"), F.col("_x")) - dot(F.col("_p"), F.col("_p"))) / F.size("_x"))
-    fitted = errors.agg(F.avg("error").alias("m"), F.stddev_samp("error").alias("s")).first()
+    fitted = errors.where(learn).agg(F.avg("error").alias("m"), F.stddev_samp("error").alias("s")).first()
     if class_prob is None:
-        lr = LogisticRegression(labelCol="label", featuresCol="std", probabilityCol="_cp", rawPredictionCol="_cr", predictionCol="_cpred", maxIter=30).fit(prepared)
+        lr = LogisticRegression(labelCol="label", featuresCol="std", probabilityCol="_cp", rawPredictionCol="_cr", predictionCol="_cpred", maxIter=30).fit(prepared.where(learn))
         errors = lr.transform(errors).withColumn("_class", vector_to_array("_cp")[1])
     else:
         errors = errors.withColumn("_class", F.col(class_prob))
     recon = sigmoid((F.col("error") - F.lit(fitted["m"])) / F.lit((fitted["s"] or 0.0) + 1e-8))
-    return errors.select("supplier_id", "end_id", "error", (F.col("_class") * 0.7 + recon * 0.3).alias("score"))
+    return errors.where("_held").select("supplier_id", "end_id", "error", (F.col("_class") * 0.7 + recon * 0.3).alias("score"))
 
 
-def hyperparameter_search(train: DataFrame, cols: Sequence[str], *, grid: dict[str, Sequence] | None = None, seed: int = 42, parallelism: int = 4):
-    """Grid search over boosted trees maximising the area under precision-recall: (best model, results).
+#: 3 x 3 x 3 x 2 settings of the boosted trees.
+GRID = {"maxDepth": [2, 3, 5], "stepSize": [0.05, 0.1, 0.3], "subsamplingRate": [0.6, 0.8, 1.0], "minInstancesPerNode": [1, 10]}
+#: Share of the training rows and boosting rounds of each rung; a third of the settings goes on.
+RUNGS = ((1 / 9, 2), (1 / 3, 6), (1.0, 20))
 
-    ``grid`` maps parameter names of the classifier to values; every
-    combination is trained, ``parallelism`` at a time.
+
+def hyperparameter_search(
+    train: DataFrame, cols: Sequence[str], *, key: str, grid: Mapping[str, Sequence] = GRID, rungs: Sequence[tuple[float, int]] = RUNGS, seed: int = 42, parallelism: int = 8
+):
+    """Successive halving over the whole grid, by the area under precision-recall: (best settings, results).
+
+    Every setting is tried on a hash sample of the rows with few boosting rounds; the best third goes on to more rows
+    and rounds, until the last rung has all rows and all rounds. Samples are nested, so a rung only adds rows. Results have a
+    row per setting and rung: rung, rows, rounds, params, auc_pr, kept.
     """
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=5, seed=seed)
+    gbt = boosted_trees(seed=seed)
     builder = ParamGridBuilder()
-    for name, values in (grid or {"maxDepth": [3, 5], "stepSize": [0.1, 0.3]}).items():
+    for name, values in grid.items():
         builder = builder.addGrid(gbt.getParam(name), list(values))
-    maps = builder.build()
-    search = TrainValidationSplit(
-        estimator=gbt, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR"),
-        trainRatio=0.8, parallelism=parallelism, seed=seed,
-    )
-    fitted = search.fit(assemble(with_class_weight(train), cols))
-    rows = [(", ".join(f"{p.name}={x}" for p, x in sorted(m.items(), key=lambda e: e[0].name)), float(s)) for m, s in zip(maps, fitted.validationMetrics)]
-    return fitted.bestModel, train.sparkSession.createDataFrame(rows, "params string, auc_pr double")
-
-
-def cross_validate(df: DataFrame, cols: Sequence[str], *, key: str, n: int = 5, seed: int = 42) -> DataFrame:
-    """Mean and deviation of the area under ROC over stratified folds."""
+    maps, results = builder.build(), []
+    evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR")
+    rows = cut_lineage(assemble(with_class_weight(train), cols).select(key, "features", "label", "weight"))
+    place = uniform(key, F.lit("rung"), F.lit(seed))
+    for rung, (share, rounds) in enumerate(rungs):
+        part = rows if share >= 1 else cut_lineage(rows.where((place < share) | ((F.col("label") == 1) & (place < 3 * share))))
+        search = TrainValidationSplit(
+            estimator=gbt.copy({gbt.maxIter: rounds}), estimatorParamMaps=maps, evaluator=evaluator, trainRatio=0.8, parallelism=parallelism, seed=seed
+        )
+        scores = search.fit(part).validationMetrics
+        ranked = sorted(range(len(maps)), key=lambda i: (-scores[i], i))
+        going = set(ranked[: 1 if rung + 1 == len(rungs) else max(1, -(-len(maps) // 3))])
+        n = part.count()
+        for i in ranked:
+            text = ", ".join(f"{p.name}={x}" for p, x in sorted(maps[i].items(), key=lambda e: e[0].name))
+            results.append((rung, n, rounds, text, float(scores[i]), i in going))
+        maps = [maps[i] for i in ranked if i in going]
+    best = {p.name: x for p, x in maps[0].items()}
+    return best, train.sparkSession.createDataFrame(results, "rung int, rows long, rounds int, params string, auc_pr double, kept boolean")
+
+
+def train_with(train: DataFrame, cols: Sequence[str], settings: Mapping[str, float], *, rounds: int = 20, seed: int = 42) -> PipelineModel:
+    """``train_ensemble`` with the settings a search found."""
+    gbt = boosted_trees(rounds=rounds, seed=seed)
+    gbt = gbt.copy({gbt.getParam(name): value for name, value in settings.items()})
+    return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), gbt]).fit(with_class_weight(train))
+
+
+def cross_validate(df: DataFrame, cols: Sequence[str], *, key: str, n: int = 5, rounds: int = 20, seed: int = 42) -> DataFrame:
+    """Mean and deviation of the ensemble's area under ROC over stratified folds: folds, mean_auc, sd_auc."""
     dealt = assemble(with_class_weight(folds(df, key=key, n=n, seed=seed)), cols)
-    lr = LogisticRegression(labelCol="label", featuresCol="features", weightCol="weight", maxIter=20)
+    dealt = cut_lineage(dealt.select("features", "label", "weight", "fold"))
+    gbt = boosted_trees(rounds=rounds, seed=seed)
     cv = CrossValidator(
-        estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01]).build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"), numFolds=n, foldCol="fold", parallelism=4, seed=seed,
+        estimator=gbt, estimatorParamMaps=ParamGridBuilder().build(),
+        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"), numFolds=n, foldCol="fold", parallelism=n, seed=seed,
     ).fit(dealt)
-    rows = [(float(m), float(s)) for m, s in zip(cv.avgMetrics, cv.stdMetrics)]
-    return df.sparkSession.createDataFrame([(i, n, m, s) for i, (m, s) in enumerate(rows)], "setting int, folds int, mean_auc double, sd_auc double")
+    return df.sparkSession.createDataFrame([(n, float(cv.avgMetrics[0]), float(cv.stdMetrics[0]))], "folds int, mean_auc double, sd_auc double")

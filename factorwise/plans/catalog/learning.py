@@ -1,9 +1,11 @@
 """Learned queries: fitted on the training split, reported on all rows."""
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from factorwise.operators import evaluation, models, sampling
+from factorwise.operators import evaluation, model_store, models, sampling
 from factorwise.plans import views as v
 from factorwise.plans.catalog import Catalog
 from factorwise.plans.catalog.features import NUMERIC, feature_frame, training_rows, vector_sequences
@@ -38,6 +40,32 @@ def meta_rows(spark, sf):
     return stage_table(spark, "meta_rows", sf, build)
 
 
+ROUNDS = 20
+
+
+def ensemble(spark, sf):
+    """The one boosted model that scores, is calibrated and is reported on: model, model_id."""
+    train = _train(meta_rows(spark, sf))
+    return model_store.stored_model(
+        "ensemble", train, ["invoice_id", "label", *META], lambda rows: models.train_ensemble(rows, META, rounds=ROUNDS), settings={"rounds": ROUNDS, "depth": 5}
+    )
+
+
+def raw_scores(spark, sf):
+    return models.probability(ensemble(spark, sf)[0], meta_rows(spark, sf), key="invoice_id", keep=["label", "split"])
+
+
+def calibrator(spark, sf):
+    """Fitted on the validation rows' scores by the stored ensemble."""
+    raw = raw_scores(spark, sf).where("split = 'val'")
+    return model_store.stored_model("calibrator", raw, ["invoice_id", "label", "probability"], models.platt_calibrate, settings={"of": ensemble(spark, sf)[1]})
+
+
+def preparation(spark, sf):
+    train = _train(training_rows(spark, sf))
+    return model_store.stored_model("preparation", train, ["row_id", *NUMERIC], lambda rows: models.preprocessing(rows, NUMERIC), settings={"variance": models.PCA_VARIANCE})[0]
+
+
 @catalog.add("robust_scale")
 def _(spark, sf):
     rows = training_rows(spark, sf)
@@ -47,19 +75,17 @@ def _(spark, sf):
 
 @catalog.add("pca_95")
 def _(spark, sf):
-    return models.explained_variance(models.preprocessing(_train(training_rows(spark, sf)), NUMERIC), spark)
+    return models.explained_variance(preparation(spark, sf), spark)
 
 
 def components(spark, sf):
     rows = training_rows(spark, sf)
-    model = models.preprocessing(_train(rows), NUMERIC)
-    return models.apply_preprocessing(model, rows, key="row_id").join(rows.select("row_id", "label", "split"), "row_id")
+    return models.apply_preprocessing(preparation(spark, sf), rows, key="row_id").join(rows.select("row_id", "label", "split"), "row_id")
 
 
 @catalog.add("apply_preprocessing")
 def _(spark, sf):
-    rows = training_rows(spark, sf)
-    return models.apply_preprocessing(models.preprocessing(_train(rows), NUMERIC), rows, key="row_id")
+    return models.apply_preprocessing(preparation(spark, sf), training_rows(spark, sf), key="row_id")
 
 
 @catalog.add("isolation_forest")
@@ -72,27 +98,39 @@ def _(spark, sf):
 
 @catalog.add("train_ensemble")
 def _(spark, sf):
-    rows = meta_rows(spark, sf)
-    return models.probability(models.train_ensemble(_train(rows), META), rows, key="invoice_id", keep=["label", "split"])
+    return raw_scores(spark, sf)
 
 
 @catalog.add("platt_calibrate")
 def _(spark, sf):
-    rows = meta_rows(spark, sf)
-    raw = models.probability(models.train_ensemble(_train(rows), META, rounds=5), rows, key="invoice_id", keep=["label", "split"])
-    return models.calibrated(models.platt_calibrate(raw.where("split = 'val'")), raw, key="invoice_id")
+    return models.calibrated(calibrator(spark, sf)[0], raw_scores(spark, sf), key="invoice_id")
 
 
 @catalog.add("feature_importance")
 def _(spark, sf):
-    return models.feature_importance(models.train_ensemble(_train(meta_rows(spark, sf)), META, rounds=10), META, spark)
+    model, model_id = ensemble(spark, sf)
+    return models.feature_importance(model, META, spark).withColumn("model_id", F.lit(model_id))
 
 
 @catalog.add("ensemble_metrics")
 def _(spark, sf):
-    rows = meta_rows(spark, sf)
-    scored = models.probability(models.train_ensemble(_train(rows), META), rows.where("split = 'test'"), key="invoice_id", keep=["label"])
-    return evaluation.model_card(scored.select("invoice_id", F.col("probability").alias("score"), "label"), model="boosted_ensemble")
+    """Cards of the stored ensemble, of its calibrated scores, and of the untrained rule, on the same test rows."""
+    model_id, calibrated_id = ensemble(spark, sf)[1], calibrator(spark, sf)[1]
+    raw = raw_scores(spark, sf).where("split = 'test'")
+    better = models.calibrated(calibrator(spark, sf)[0], raw, key="invoice_id").join(raw.select("invoice_id", "label"), "invoice_id")
+    rule = meta_rows(spark, sf).where("split = 'test'").select("invoice_id", F.col("dnn").alias("probability"), "label")
+    cards = [
+        evaluation.model_card(scored.select("invoice_id", F.col("probability").alias("score"), "label"), model=name)
+        for name, scored in ((model_id, raw), (calibrated_id, better), ("heuristic", rule))
+    ]
+    return reduce(DataFrame.unionByName, cards)
+
+
+@catalog.add("model_registry")
+def _(spark, sf):
+    """Versions this application's models come from."""
+    used = [ensemble(spark, sf)[1], calibrator(spark, sf)[1]]
+    return model_store.models(spark).where(F.col("model_id").isin(used))
 
 
 @catalog.add("train_dense_classifier")
@@ -105,23 +143,29 @@ def _(spark, sf):
 
 @catalog.add("pair_similarity_model")
 def _(spark, sf):
-    pairs = sampling.training_pairs(_train(training_rows(spark, sf)), key="row_id", features=NUMERIC)
-    staged = stage_table(spark, "pairs", sf, lambda: pairs)
-    model = models.pair_similarity_model(staged)
-    scored = model.transform(models.pair_features(staged))
+    rows = training_rows(spark, sf)
+    pairs = lambda split: sampling.training_pairs(rows.where(F.col("split") == split), key="row_id", features=NUMERIC)
+    model = models.pair_similarity_model(stage_table(spark, "pairs", sf, lambda: pairs("train")))
+    scored = model.transform(models.pair_features(pairs("test")))  # rows the model never saw
     return scored.select("pair_id", "label", vector_to_array("probability")[1].alias("probability"))
 
 
 @catalog.add("reconstruction_score")
 def _(spark, sf):
-    return models.reconstruction_score(vector_sequences(spark, sf))
+    suppliers = F.pmod(F.xxhash64("supplier_id"), F.lit(10))
+    return models.reconstruction_score(vector_sequences(spark, sf), held_out=suppliers < 3)
 
 
 @catalog.add("hyperparameter_search")
 def _(spark, sf):
-    return models.hyperparameter_search(_train(meta_rows(spark, sf)), META)[1]
+    train = _train(meta_rows(spark, sf))
+    best, results = models.hyperparameter_search(train, META, key="invoice_id")
+    _, winner = model_store.stored_model(
+        "ensemble-searched", train, ["invoice_id", "label", *META], lambda rows: models.train_with(rows, META, best, rounds=ROUNDS), settings={**best, "rounds": ROUNDS}
+    )
+    return results.withColumn("winner", F.when((F.col("rung") == len(models.RUNGS) - 1) & F.col("kept"), F.lit(winner)))
 
 
 @catalog.add("cross_validate")
 def _(spark, sf):
-    return models.cross_validate(training_rows(spark, sf), NUMERIC, key="row_id")
+    return models.cross_validate(meta_rows(spark, sf), META, key="invoice_id", rounds=ROUNDS)
