@@ -86,13 +86,21 @@ def _(spark, sf):
   min(invoice_date) as since from inv group by 1, 2""",
 )
 def _(spark, sf):
+    merged = _merged(spark, sf)[1]
+    return merged.where(F.col("rel_type") == graph.SUPPLIES).withColumn("amount", F.round("amount", 2))
+
+
+@catalog.add("graph_upsert_nodes", _NODES)
+def _(spark, sf):
+    return _merged(spark, sf)[0]
+
+
+def _merged(spark, sf):
+    """Nodes and edges after the invoices from 1999 on arrive as a second batch."""
     inv, ent = v.invoices(spark, sf), v.entities(spark, sf)
     late = F.col("invoice_date") >= "1999-01-01"
     old, new = inv.where(~late), inv.where(late)
-    _, merged = graph.graph_upsert(
-        graph.graph_nodes(ent, old), graph.graph_edges(old), graph.graph_nodes(ent, new), graph.graph_edges(new)
-    )
-    return merged.where(F.col("rel_type") == graph.SUPPLIES).withColumn("amount", F.round("amount", 2))
+    return graph.graph_upsert(graph.graph_nodes(ent, old), graph.graph_edges(old), graph.graph_nodes(ent, new), graph.graph_edges(new))
 
 
 @catalog.add(
