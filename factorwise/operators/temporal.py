@@ -104,6 +104,19 @@ def closure(edges: DataFrame, keys: list[str]) -> DataFrame:
     return pairs
 
 
+def _reached_from(edges: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """``closure`` of the pairs that begin at ``sources`` (``keys``, src) only, by jumps of up to four hops."""
+    on = [*keys, "src", "dst"]
+    jumps = _grow(edges, keys, 2)
+    after = jumps.select(*keys, F.col("src").alias("_mid"), F.col("dst").alias("_end"))
+    pairs = new = cut_lineage(jumps.join(sources, [*keys, "src"], "left_semi").select(*on))
+    while not new.isEmpty():
+        longer = new.withColumnRenamed("dst", "_mid").join(after, [*keys, "_mid"]).select(*keys, "src", F.col("_end").alias("dst"))
+        new = cut_lineage(longer.distinct().join(pairs, on, "left_anti"))
+        pairs = pairs.unionByName(new)
+    return pairs
+
+
 def _landmarks(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Per slice the node with the largest product of in- and out-degree (ties: the smallest): ``keys``, mark."""
     ends = edges.select(*keys, F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
@@ -129,12 +142,14 @@ def _spread(jumps: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     return seen
 
 
-def reach_totals(edges: DataFrame, *, slices: Sequence[str] = (), weights: DataFrame | None = None, measures: Sequence[str] = ()) -> DataFrame:
+def reach_totals(
+    edges: DataFrame, *, slices: Sequence[str] = (), weights: DataFrame | None = None, measures: Sequence[str] = (), sources: DataFrame | None = None
+) -> DataFrame:
     """What each node reaches by any number of hops: [slices], source, reached, circular, and the sums of ``measures``.
 
     ``reached`` counts nodes, the source too if it lies on a cycle (``circular``). ``weights`` ([slices], node, measures)
-    holds at most one row per node; nodes without one add nothing. Only sources with an edge have a row. Every
-    slice is a graph of its own; without slices the whole edge table is one.
+    holds at most one row per node; nodes without one add nothing. Only sources with an edge have a row; ``sources``
+    ([slices], source) limits them. Every slice is a graph of its own; without slices the whole edge table is one.
 
     Most pairs of a dense trade graph go through its giant component, so they are never written. Each slice has a
     landmark, its best connected node, with D the nodes it reaches and A the nodes that reach it. A node of A reaches all of
@@ -156,8 +171,14 @@ def reach_totals(edges: DataFrame, *, slices: Sequence[str] = (), weights: DataF
             rest = rest.join(nodes.withColumnRenamed("node", end), [*keys, end], "left_anti")
         return rest.select(*keys, F.lit(kind).alias("_kind"), "src", "dst")
 
-    pairs = closure(outside(down, "down").unionByName(outside(up, "up")), [*keys, "_kind"])
-    source = [*keys, "source"]
+    source, local_keys = [*keys, "source"], [*keys, "_kind"]
+    rest = outside(down, "down").unionByName(outside(up, "up"))
+    if sources is None:
+        pairs = closure(rest, local_keys)
+    else:
+        sources = cut_lineage(sources.select(*source).distinct())
+        kinds = F.explode(F.array(F.lit("down"), F.lit("up"))).alias("_kind")
+        pairs = _reached_from(cut_lineage(rest), sources.select(*keys, kinds, F.col("source").alias("src")), local_keys)
     is_up = up.select(*keys, F.col("node").alias("source"), F.lit(True).alias("_up"))
     local = pairs.select(*keys, "_kind", F.col("src").alias("source"), F.col("dst").alias("node")).join(is_up, source, "left")
     local = local.where(F.when(F.col("_up"), F.col("_kind") == "down").otherwise(F.col("_kind") == "up"))
@@ -176,6 +197,7 @@ def reach_totals(edges: DataFrame, *, slices: Sequence[str] = (), weights: DataF
     mine = marked.join(weights.select(*keys, "node", *[F.col(m).alias(f"_m_{m}") for m in measures]), [*keys, "node"], "left")
     mine = mine.withColumnRenamed("node", "_mark")
     nodes = plain.select(*keys, F.col("src").alias("source")).distinct()
+    nodes = nodes if sources is None else nodes.join(sources, source, "left_semi")
     both = is_up.join(down.withColumnRenamed("node", "source"), source, "left_semi").select(*source, F.lit(True).alias("_both"))
     out = nodes.join(own, source, "left").join(is_up, source, "left").join(both, source, "left")
     for per_slice in (shared, mine, cyclic):
@@ -214,7 +236,8 @@ def cascade_totals(roots: DataFrame, trades: DataFrame, *, hours: int = 72) -> D
     offered = in_windows(daily, **window, day="invoice_date").groupBy("root_date", F.col("company").alias("node")).agg(
         F.sum("n").alias("n"), F.sum("total").cast("decimal(38,2)").alias("total")
     )
-    reach = reach_totals(edges, slices=["root_date"], weights=offered, measures=["n", "total"])
+    asked = roots.select(F.col("invoice_date").alias("root_date"), F.col("company").alias("source"))
+    reach = reach_totals(edges, slices=["root_date"], weights=offered, measures=["n", "total"], sources=asked)
     joined = roots.select("invoice_id", "amount", F.col("company").alias("source"), F.col("invoice_date").alias("root_date")).join(reach, ["root_date", "source"], "left")
     own = F.coalesce("circular", F.lit(False))
     return joined.select(

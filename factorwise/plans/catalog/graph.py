@@ -183,9 +183,9 @@ def _(spark, sf):
     inv = v.company_invoices(spark, sf)
     sold = temporal.in_windows(inv, **window, day="invoice_date").groupBy("root_date", F.col("company").alias("node")).agg(F.sum("amount").alias("amount"))
     near = temporal.in_windows(trades(spark, sf), **window)
-    totals = temporal.reach_totals(near, slices=["root_date"], weights=sold, measures=["amount"])
-    asked = inv.select(F.col("invoice_date").alias("root_date"), F.col("company").alias("source")).distinct()
-    return totals.join(asked, ["root_date", "source"], "left_semi").withColumn("amount", F.round(F.col("amount").cast("double"), 2))
+    asked = inv.select(F.col("invoice_date").alias("root_date"), F.col("company").alias("source"))
+    totals = temporal.reach_totals(near, slices=["root_date"], weights=sold, measures=["amount"], sources=asked)
+    return totals.withColumn("amount", F.round(F.col("amount").cast("double"), 2))
 
 
 _FEATS = """
