@@ -6,7 +6,7 @@ centroids from spherical k-means; a text takes the language of the centroid with
 cosine is far below what rightly identified texts of its length show is rejected.
 
 Document frequencies and rejection limits use all labelled rows; only the clustering uses a bounded sample
-(``per_lang`` rows of each language, chosen by hash). The model is (languages x clusters x buckets) floats, at most
+(``per_lang`` distinct texts of each language, chosen by hash). The model is (languages x clusters x buckets) floats, at most
 ``MODEL_BYTES``; it travels with the tasks.
 """
 
@@ -85,7 +85,8 @@ class Model:
 def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", per_lang: int = 300, clusters: int = 4, seed: int = 5) -> Model | None:
     """Centroids from rows with a language and a letter; None if there are none.
 
-    ``per_lang`` bounds the rows of a language that are clustered; frequencies are counted over all rows.
+    ``per_lang`` bounds the distinct texts of a language that are clustered, so a language of few texts that repeat often
+    keeps them all; frequencies are counted over all rows.
     """
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("body")).filter("lang is not null and body is not null")
 
@@ -109,12 +110,15 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", per_lang: i
     idf = (np.log((1 + docs) / (1 + freq)) + 1).astype(np.float32)
 
     most = MODEL_BYTES // (clusters * BUCKETS * 4)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "body"), 11) / float(1 << 53)
+    lettered = rows.filter(F.col("body").rlike(r"\p{L}")).withColumn("h", unit)
+    sizes = lettered.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
     if len(sizes) > most:
         raise ValueError("more languages than the model's bound allows; lower clusters or raise MODEL_BYTES")
+    if not sizes:
+        return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, 2.0 * per_lang / r.n)])
-    h = F.xxhash64(F.lit(seed), "body")
-    drawn = rows.withColumn("h", F.shiftrightunsigned(h, 11) / float(1 << 53)).filter(F.col("h") < share[F.col("lang")])
+    drawn = lettered.filter(F.col("h") < F.try_element_at(share, "lang")).distinct()
     sample = drawn.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "body"))).filter(F.col("r") <= per_lang)
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
