@@ -37,9 +37,9 @@ NUMBER, UNIT, NAME = np.uint64(0x4E554D), np.uint64(0x554E4954), np.uint64(0x4E4
 @functools.cache
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per code point: in a token, a digit, a capital letter."""
-    chars = [chr(c) for c in range(sys.maxunicode + 1)]
-    digit = np.fromiter((c.isdigit() for c in chars), bool, len(chars))
-    return np.fromiter((c.isalpha() for c in chars), bool, len(chars)) | digit, digit, np.fromiter((c.isupper() for c in chars), bool, len(chars))
+    n = sys.maxunicode + 1
+    letter, digit, capital = (np.fromiter((test(chr(c)) for c in range(n)), bool, n) for test in (str.isalpha, str.isdigit, str.isupper))
+    return letter | digit, digit, capital
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
