@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -10,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
@@ -301,7 +303,6 @@ def test_language_id_rejects(spark, docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     foreign = spark.createDataFrame([(10**6 + i, "Это совсем другой язык и другая азбука " * (20 + i), None, "x", 1) for i in range(5)], docs.schema)
     got = {r.doc_id: r for r in langid.identify(docs.union(foreign), train=~langid.held_out()).collect()}
-    print([got[10**6 + i] for i in range(5)])
     assert all(got[10**6 + i].rejected for i in range(5))
 
 
@@ -321,6 +322,18 @@ def test_language_id_rejects_latin_script(spark):
     assert sum(r.rejected for r in got if r.doc_id < 10**6) / docs.count() < 0.01
 
 
+def test_language_id_of_repeated_texts(spark):
+    """A language of many rows and few distinct texts keeps its centroids."""
+    german = ["Der schnelle braune Fuchs springt über den faulen Hund und läuft davon. ", "Heute scheint die Sonne, morgen regnet es wieder im ganzen Land. "]
+    english = [f"The house number {i} stands near the old river and nobody lives there any more. " for i in range(400)]
+    rows = [(i, english[i % 400] * 3, "en") for i in range(1000)] + [(10**4 + i, german[i % 2] * 3, "de") for i in range(4000)]
+    for seed in (5, 6, 7, 8):
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), seed=seed)
+        assert sorted(set(model.langs)) == ["de", "en"]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train=~langid.held_out()).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 10**4 else "de") and not r.rejected for r in got)
+
+
 def test_language_id_odd(odd, none):
     got = langid.identify(odd, train=~langid.held_out()).collect()
     assert len(got) == 11
@@ -588,6 +601,30 @@ def test_battery_tells_random_from_ordinary(spark):
     assert all(got[i][1] == f"random:6:{6 + len(rows[i][1]) - 12}" for i in hit)
 
 
+def test_secrets_in_one_long_text(spark):
+    """10^5 tokens in one text: the walk over them is no quadratic one."""
+    rng = np.random.default_rng(4)
+    words = [rng.bytes(10).hex() if i % 2 else f"name{i}" for i in range(100_000)]
+    text = " ".join(words) + " password=abcdefghijklmnop"
+    began = time.monotonic()
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.monotonic() - began < 60
+    assert got.n_hex == 50_000 and got.n_assign == 1 and got.base_sha256 == hashlib.sha256(plain_spans(text).encode()).hexdigest()
+
+
+def test_tokens_apart_from_base_spans(spark):
+    """The binary search agrees with comparing every span."""
+    rng = np.random.default_rng(8)
+    kinds = "array<struct<start: int, end: int>>"
+    rows = []
+    for i in range(200):
+        cuts = np.sort(rng.choice(200, 2 * int(rng.integers(0, 12)), replace=False)).tolist()
+        rows.append((i, [tuple(cuts[j : j + 2]) for j in range(0, len(cuts), 2)], int(rng.integers(0, 200)), "x" * int(rng.integers(1, 30))))
+    df = spark.createDataFrame(rows, f"i int, spans {kinds}, start int, value string")
+    got = {r.i: r.met for r in df.select("i", secrets._overlaps(F.col("spans"), F.struct("start", "value")).alias("met")).collect()}
+    assert got == {i: any(a < s + len(v) and s < z for a, z in spans) for i, spans, s, v in rows}
+
+
 def test_secrets_odd(odd, none):
     got = secrets.scan(odd).collect()
     assert len(got) == 11 and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
