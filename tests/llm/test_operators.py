@@ -464,6 +464,69 @@ def test_planted_passages(spark):
     assert all(r.words >= 50 and r.identity >= 0.8 and r.other_id < r.doc_id for r in got)
 
 
+def linked(got) -> dict[int, int]:
+    """Least document that chains of passages reach from each."""
+    root: dict[int, int] = {}
+    find = lambda d: d if root.setdefault(d, d) == d else find(root[d])
+    for r in got:
+        a, b = sorted((find(r.doc_id), find(r.other_id)))
+        root[b] = a
+    return {d: find(d) for d in list(root)}
+
+
+@pytest.mark.parametrize("parts", [2, 3])
+def test_passages_with_parts_elsewhere(spark, parts):
+    """Documents that hold one part of a passage each, before, between and after its holders, hide none of them."""
+    rng = np.random.default_rng(parts)
+    word = lambda: f"w{rng.integers(10**6)}"
+    passage = [word() for _ in range(45 * parts)]
+    own = lambda n: [word() for _ in range(n)]
+    rows, holders = [], [100, 200, 300, 400]
+    for d in range(50, 500, 5):
+        a = 45 * int(rng.integers(parts))
+        middle = passage if d in holders else passage[a : a + 45]
+        rows.append((d, " ".join(own(40) + middle + own(40))))
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = [r for r in got if r.words >= 45 * parts - 2]
+    assert {r.doc_id for r in whole} >= set(holders[1:]) and {r.doc_id for r in whole} | {r.other_id for r in whole} == set(holders)
+    assert len({linked(whole)[d] for d in holders}) == 1
+
+
+def test_exact_passages_against_brute_force(docs, texts):
+    """Every document that has 60 words of an earlier one in a row reports a passage with those words."""
+    first: dict[tuple, int] = {}
+    got: dict[int, set[int]] = {}
+    for r in chaining.fuzzy_passages(docs).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    asked = caught = 0
+    for d in sorted(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[d] or ""))
+        held = [(i, tuple(w[i : i + 60])) for i in range(len(w) - 59)]
+        for i, h in held:
+            if first.get(h, d) < d:
+                asked += 60
+                caught += len(got.get(d, set()) & set(range(i, i + 60)))
+        for _, h in held:
+            first.setdefault(h, d)
+    assert asked and caught >= 0.99 * asked
+
+
+def test_frequent_seeds_in_groups(spark, monkeypatch):
+    """Seeds held to be frequent are dealt into groups of documents: the same documents are linked."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(10**6)}"
+    passage = [word() for _ in range(70)]
+    rows = [(d, " ".join([word() for _ in range(30)] + (passage if d % 3 else []) + [word() for _ in range(30)])) for d in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = linked(chaining.fuzzy_passages(docs).collect())
+    monkeypatch.setattr(chaining, "HOT_SAMPLE", 1000)
+    monkeypatch.setattr(chaining, "HOT_GROUP", 10)
+    assert chaining.hot_seeds(docs, 120, key="doc_id", text="text").count() > 5
+    assert linked(chaining.fuzzy_passages(docs).collect()) == plain == {d: 1 for d in range(120) if d % 3}
+    monkeypatch.setattr(chaining, "BROADCAST_HOT", 0)
+    assert linked(chaining.fuzzy_passages(docs).collect()) == plain
+
+
 def test_passages_of_copies(docs, texts):
     got = chaining.fuzzy_passages(docs).collect()
     later = {d for d, t in texts.items() if len(t.split()) >= 60 and any(e < d and u == t for e, u in texts.items())}
