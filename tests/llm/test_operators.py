@@ -527,6 +527,15 @@ def test_frequent_seeds_in_groups(spark, monkeypatch):
     assert linked(chaining.fuzzy_passages(docs).collect()) == plain
 
 
+def test_passages_of_one_repeated_word(spark):
+    """A word again and again gives a few rows, not one per position; a line again and again at most one per repetition."""
+    line = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, "na " * 3000), (2, "na " * 500), (3, f"{line} " * 200), (4, f"{line} " * 90)]
+    got = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(2, 1), (4, 3)}
+    assert sum(r.doc_id == 2 for r in got) < 10 and sum(r.doc_id == 4 for r in got) <= 90
+
+
 def test_passages_of_copies(docs, texts):
     got = chaining.fuzzy_passages(docs).collect()
     later = {d for d, t in texts.items() if len(t.split()) >= 60 and any(e < d and u == t for e, u in texts.items())}
