@@ -461,3 +461,31 @@ def test_codes_of_prefixed_texts(spark):
     got = features.label_encode(df, ["a", "b"]).collect()
     want = {c: {x: i for i, x in enumerate(sorted({str(r[c]) if r[c] is not None else "UNKNOWN" for r in got}))} for c in "ab"}
     assert len(got) == 30_000 and all(r[f"{c}_enc"] == want[c][str(r[c]) if r[c] is not None else "UNKNOWN"] for r in got for c in "ab")
+
+
+def test_ego_network_serves_every_company_of_every_week(spark):
+    """The query has a centre for each company that trades in a week, not for ring members alone."""
+    from factorwise.plans import views
+    from factorwise.plans.catalog import load
+
+    sf = "/root/testdata/sf0.001"
+    edges = views.trade_edges(spark, sf)
+    want = edges.selectExpr("week", "explode(array(src, dst)) as center_id").distinct()
+    got = load().queries["ego_network"](spark, sf).select("week", "center_id").distinct()
+    assert got.count() == want.count() == got.join(want, ["week", "center_id"]).count()
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_ego_network_takes_the_fewest_hops(spark, depth):
+    edges = spark.createDataFrame([("w", 1, 2), ("w", 2, 3), ("w", 3, 4), ("w", 4, 1), ("w", 4, 5), ("v", 5, 6)], "week string, src long, dst long")
+    got = {(r.week, r.center_id, r.node_id): r.hop for r in graph.ego_network(edges, depth=depth, slices=["week"]).collect()}
+    near = {"w": {1: {2, 4}, 2: {1, 3}, 3: {2, 4}, 4: {1, 3, 5}, 5: {4}}, "v": {5: {6}, 6: {5}}}
+    want = {}
+    for week, links in near.items():
+        for start in links:
+            level = {start}
+            for hop in range(depth + 1):
+                for node in level:
+                    want.setdefault((week, start, node), hop)
+                level = {n for m in level for n in links[m]}
+    assert got == want
