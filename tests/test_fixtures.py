@@ -489,3 +489,21 @@ def test_ego_network_takes_the_fewest_hops(spark, depth):
                     want.setdefault((week, start, node), hop)
                 level = {n for m in level for n in links[m]}
     assert got == want
+
+
+def test_candidates_stay_few_when_rare_tokens_share_buckets_with_frequent_ones(spark, monkeypatch):
+    """Sets of one order share its number and little else: they are no candidates, whatever buckets their tokens fall into."""
+    monkeypatch.setattr(similarity, "FREQUENCY_BUCKETS", 64)
+    sizes = []
+    keep = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df: sizes.append((df.columns, out := keep(df))) or out)
+    rng = random.Random(8)
+    common = ["supplier", "customer"]
+    data = [sorted({f"po-{i}", f"inv-{i // 4}", *common, *(f"{c}{rng.randrange(40)}" for c in "abcdef")}) for i in range(600)]
+    data.append(sorted({*data[7][:-1], "zz"}))
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(data)], "invoice_id string, tokens array<string>")
+    found = similarity.jaccard_pairs(similarity.token_sets(df)[0])
+    want = sum(len(set(a) & set(b)) >= 0.7 * len(set(a) | set(b)) for a, b in itertools.combinations(data, 2))
+    assert found.count() == want >= 1
+    candidates = next(df for columns, df in sizes if columns == ["k_a", "k_b"])
+    assert candidates.count() <= 2 * want + 20
