@@ -507,3 +507,33 @@ def test_candidates_stay_few_when_rare_tokens_share_buckets_with_frequent_ones(s
     assert found.count() == want >= 1
     candidates = next(df for columns, df in sizes if columns == ["k_a", "k_b"])
     assert candidates.count() <= 2 * want + 20
+
+
+def test_quantiles_between_bounds_are_exact(spark):
+    """Above ACCURACY rows only values between the bounds are counted, ties and several probabilities included."""
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=40_000), "b": np.repeat([1.0, 2.0, 7.0], [15_000, 9_000, 6_000]), "c": rng.integers(0, 9, 30).astype(float)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs], "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for r in exact_quantiles(df, value="v", probs=probs, group=["g"]).collect():
+        assert [r[f"q{i}"] for i in range(6)] == pytest.approx(np.quantile(data[r["g"]], probs), abs=1e-9)
+        assert r["n"] == len(data[r["g"]])
+    one = exact_quantiles(df.where("g = 'a'"), value="v", probs=probs).first()
+    assert [one[f"q{i}"] for i in range(6)] == pytest.approx(np.quantile(data["a"], probs), abs=1e-9)
+
+
+def test_split_numbers_only_the_slices_with_a_cut(spark):
+    """Repeated keys at a cut included, each class is cut as the numbering of all its rows would."""
+    df = spark.createDataFrame([(f"k{i // 3}", int(i % 7 == 0), i) for i in range(20_000)] + [(None, 1, 1), ("x", None, 1)], "k string, label int, i int")
+    cut = sampling.stratified_split(df, key="k", fractions={"train": 0.7, "val": 0.15, "test": 0.15})
+    assert cut.columns == ["label", "k", "i", "split"]
+    got = {(r["label"], r["split"]): r["count"] for r in cut.groupBy("label", "split").count().collect()}
+    order = sampling._numbered(df, "k", "label", 42).select("label", "k", "i", "position")
+    n = {r["label"]: r["count"] for r in df.where("k is not null and label is not null").groupBy("label").count().collect()}
+    assert got == {(y, s): v for y in n for s, v in zip(("train", "val", "test"), (int(n[y] * 0.7 + 1e-9), int(n[y] * 0.85 + 1e-9) - int(n[y] * 0.7 + 1e-9), n[y] - int(n[y] * 0.85 + 1e-9)))}
+    edge = cut.join(order, ["label", "k", "i"]).groupBy("label", "split").agg(F.min("position").alias("a"), F.max("position").alias("z")).collect()
+    bounds = {(r["label"], r["split"]): (r["a"], r["z"]) for r in edge}
+    for y in n:  # up to rows of one key, which are interchangeable
+        assert bounds[y, "train"][1] <= bounds[y, "val"][0] + 5 and bounds[y, "val"][1] <= bounds[y, "test"][0] + 5
+    plan = cut.where("split = 'train'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") <= 1
