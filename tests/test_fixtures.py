@@ -537,3 +537,17 @@ def test_split_numbers_only_the_slices_with_a_cut(spark):
         assert bounds[y, "train"][1] <= bounds[y, "val"][0] + 5 and bounds[y, "val"][1] <= bounds[y, "test"][0] + 5
     plan = cut.where("split = 'train'")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window") <= 1
+
+
+def test_invoices_of_unknown_parts_have_a_duplicate_risk(spark, tmp_path):
+    from pathlib import Path
+
+    from factorwise.plans import views
+    from factorwise.plans.catalog import load
+
+    for file in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if file.name != "part.parquet":
+            (tmp_path / file.name).symlink_to(file)
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey % 5 <> 0").write.parquet(str(tmp_path / "part.parquet"))
+    risk = load().queries["duplicate_risk"](spark, str(tmp_path))
+    assert risk.count() == views.invoices(spark, str(tmp_path)).count()
