@@ -551,3 +551,31 @@ def test_invoices_of_unknown_parts_have_a_duplicate_risk(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey % 5 <> 0").write.parquet(str(tmp_path / "part.parquet"))
     risk = load().queries["duplicate_risk"](spark, str(tmp_path))
     assert risk.count() == views.invoices(spark, str(tmp_path)).count()
+
+
+def test_only_keys_that_come_again_are_moved(spark, monkeypatch):
+    """Rows whose set or fingerprint is their own stay where they are; the results are those of grouping all rows."""
+    from factorwise.plans import ordered
+
+    def text(df):
+        return sorted(str(tuple(r)) for r in df.collect())
+
+    kept = []
+    keep = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df: kept.append(out := keep(df)) or out)
+    data = [(f"i{n}", [f"w{n}", "x"]) for n in range(200)] + [(f"c{n}", ["same", "x"]) for n in range(5)] + [("e", []), ("n", None), (None, ["w0", "x"])]
+    tokens = spark.createDataFrame(data, "invoice_id string, tokens array<string>")
+    sets, members = similarity.token_sets(tokens)
+    assert kept[0].count() <= 20
+    plain = members.groupBy("set_id").agg(F.count("*").alias("members"), F.min("invoice_id").alias("first_id"))
+    assert text(sets.select("set_id", "members", "first_id")) == text(plain)
+    pairs = similarity.jaccard_pairs(sets, threshold=0.3)
+    counts = [text(similarity.candidate_counts(pairs, members, sets=s)) for s in (sets, None)]
+    assert counts[0] == counts[1] and len(counts[0]) == len(data) - 1
+    prints = [(f"p{n}", D(2024, 1, 1 + n % 5), f"s{n // 3 if n < 30 else n}") for n in range(90)] + [(None, D(2024, 1, 1), "s7"), ("z", None, "s40"), ("q", D(2024, 1, 1), None)]
+    df = spark.createDataFrame(prints, "invoice_id string, invoice_date date, sha256 string")
+    first = df.groupBy("sha256").agg(F.min(F.struct("invoice_date", "invoice_id")).alias("f"))
+    want = df.join(first, "sha256").select("invoice_id", "sha256", F.col("f.invoice_id") != F.col("invoice_id"), "f.invoice_id")
+    for slots in (1 << 21, 4):  # with four slots nearly every row shares one with a repeated hash
+        monkeypatch.setattr(ordered, "SLOTS", slots)
+        assert text(dedup.exact_duplicates(df)) == text(want)
