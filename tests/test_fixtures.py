@@ -579,3 +579,33 @@ def test_only_keys_that_come_again_are_moved(spark, monkeypatch):
     for slots in (1 << 21, 4):  # with four slots nearly every row shares one with a repeated hash
         monkeypatch.setattr(ordered, "SLOTS", slots)
         assert text(dedup.exact_duplicates(df)) == text(want)
+
+
+def test_match_in_parts_equals_the_planners(spark):
+    """A task's share of a match is bounded by the parts, whatever the session's partitions; the rows stay the same."""
+    inv = spark.createDataFrame([(f"i{n}", f" PO-{n % 150} " if n % 7 else None, f"grn-{n}" if n % 3 else None) for n in range(400)], "invoice_id string, po_number string, grn_number string")
+    po = spark.createDataFrame([(f"po-{n}", float(n)) for n in range(0, 150, 2)] * 2, "po_number string, amount double")
+    grn = spark.createDataFrame([(f"GRN-{n}", float(n)) for n in range(0, 400, 5)], "grn_number string, quantity double")
+    cut = matching.match_documents(inv, po, grn, parts={"po": 23, "grn": 29})
+    assert rows(cut.na.fill("")) == rows(matching.match_documents(inv, po, grn).na.fill("")) and cut.count() == 400
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 23), REPARTITION_BY_NUM") == 2 and plan.count(", 29), REPARTITION_BY_NUM") == 2
+
+
+def test_a_status_of_each_kind_decides_the_receipt(spark, tmp_path):
+    """Only when all known statuses are open there is none; the flag needs no sort of the lines."""
+    from pathlib import Path
+
+    from factorwise.plans import views
+
+    for file in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        if file.name != "lineitem.parquet":
+            (tmp_path / file.name).symlink_to(file)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    status = F.when(F.col("l_linenumber") % 3 == 0, None).when(F.col("l_orderkey") % 2 == 0, "O").otherwise(F.col("l_linestatus"))
+    lines.withColumn("l_linestatus", status).write.parquet(str(tmp_path / "lineitem.parquet"))
+    inv = views.invoices(spark, str(tmp_path), copies=False)
+    known = spark.read.parquet(str(tmp_path / "lineitem.parquet")).groupBy(F.concat("l_orderkey", F.lit("-"), "l_suppkey").alias("invoice_id")).agg(F.collect_set("l_linestatus").alias("s"))
+    wrong = inv.join(known, "invoice_id").where(F.col("grn_number").isNotNull() != (F.size(F.array_remove("s", "O")) > 0))
+    assert wrong.count() == 0 and inv.where("grn_number is null").count() > 0
+    assert "SortAggregate" not in inv._jdf.queryExecution().executedPlan().toString()
