@@ -64,6 +64,18 @@ def test_amounts(spark):
     assert got == [None if w is None else decimal.Decimal(w) for w in want]
 
 
+def test_dates_do_not_depend_on_the_shapes_of_layouts(spark, monkeypatch):
+    """A layout tried on texts of its shape only finds the dates it finds on all texts."""
+    days, months, years = ("1", "31", "0031", "2024", "-2024", "99"), ("2", "13", "003", "Feb", "FEB", "feb"), ("2", "24", "024", "2024", "0024", "+12024", "2024x")
+    rows = [(f"{a}{sep}{b}{sep}{c}",) for sep in "-/ " for a in days for b in months for c in years]
+    texts = spark.createDataFrame([*rows, (None,), ("",), ("n/a",)], "t string")
+    found = lambda: sorted(texts.select("t", parse.date(F.col("t")).cast("string").alias("d")).collect(), key=str)
+    shaped = found()
+    assert set(parse._SHAPES) == set(parse.DATE_FORMATS) and sum(r.d is not None for r in shaped) > 20
+    monkeypatch.setattr(parse, "_SHAPES", {})
+    assert found() == shaped
+
+
 def test_dates(spark):
     texts = {
         "2024-03-05": D(2024, 3, 5), "05/03/2024": D(2024, 3, 5), "03/25/2024": D(2024, 3, 25), "05-03-2024": D(2024, 3, 5),
