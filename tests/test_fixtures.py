@@ -621,3 +621,60 @@ def test_a_status_of_each_kind_decides_the_receipt(spark, tmp_path):
     wrong = inv.join(known, "invoice_id").where(F.col("grn_number").isNotNull() != (F.size(F.array_remove("s", "O")) > 0))
     assert wrong.count() == 0 and inv.where("grn_number is null").count() > 0
     assert "SortAggregate" not in inv._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_written_result_leaves_no_shuffle_files(spark):
+    """Disk is that of the stored tables and of one step's exchanges, not of all steps before."""
+    import gc
+    import time
+
+    from factorwise.plans import materialise
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    gc.collect()
+    before, setting = files(), spark.conf.get(materialise.FREE_SHUFFLES)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    kept = [materialise.written(df), materialise.stage_table(spark, "freed", "test", lambda: df)]
+    until = time.time() + 10
+    while files() - before and time.time() < until:  # removed in the background
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(materialise.FREE_SHUFFLES) == setting
+    assert [k.agg(F.sum("s")).first()[0] for k in kept] == [499500, 499500]
+
+
+def test_the_documents_of_an_order_share_one_grouping_of_its_lines(spark, tmp_path):
+    """Invoices, purchase orders and receipts read the stored groups, not the lines again; sums are those of the lines."""
+    from pathlib import Path
+
+    from factorwise.plans import views
+
+    for file in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / file.name).symlink_to(file)
+    sf = str(tmp_path)
+    inv, po, grn = views.invoices(spark, sf, copies=False), views.purchase_orders(spark, sf), views.goods_receipts(spark, sf)
+    for df in (inv, po, grn):
+        assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    key = lambda p: F.concat(F.lit(p), F.col("l_orderkey"), F.lit("-"), F.col("l_suppkey")).alias("k")
+    gross = lines.where("l_orderkey % 9 <> 0").groupBy(key("PO-")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)"))
+    assert rows(po.select("po_number", "amount")) == rows(gross)
+    got = lines.groupBy(key("GRN-")).agg(F.max("l_shipdate").cast("date"), F.coalesce(F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))), F.lit(-1.0)))
+    assert rows(grn.select("grn_number", "delivery_date", F.coalesce("quantity", F.lit(-1.0)))) == rows(got)
+
+
+def test_the_lines_of_a_large_table_are_grouped_in_parts(spark, tmp_path, monkeypatch):
+    """A task's share of the lines is that of a part, whatever the session's partitions; the groups stay the same."""
+    from pathlib import Path
+
+    from factorwise.plans import views
+
+    plain = rows(views.goods_receipts(spark, "/root/testdata/sf0.001"))
+    for file in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / file.name).symlink_to(file)
+    monkeypatch.setattr(views, "TASK_LINES", 300)
+    n = views.line_parts(spark, str(tmp_path))
+    assert n >= 15
+    plan = views._order_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n}), REPARTITION_BY_NUM") == 2
+    assert rows(views.goods_receipts(spark, str(tmp_path))) == plain
