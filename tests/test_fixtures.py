@@ -678,3 +678,18 @@ def test_the_lines_of_a_large_table_are_grouped_in_parts(spark, tmp_path, monkey
     plan = views._order_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {n}), REPARTITION_BY_NUM") == 2
     assert rows(views.goods_receipts(spark, str(tmp_path))) == plain
+
+
+def test_a_phantom_is_told_from_one_verdict(spark):
+    """The filter takes the verdict as it is; it does not hold the checks behind it."""
+    import re
+
+    inv = spark.createDataFrame(
+        [("a", "po-1", None), ("b", "po-1", " "), ("c", "po-1", "grn-1"), ("d", None, None), ("e", "po-2", "")], "invoice_id string, po_number string, grn_number string"
+    ).withColumns({"amount": F.lit(10.0), "quantity": F.lit(1.0), "supplier_name": F.lit("Acme"), "buyer_name": F.lit("Bolt"), "invoice_date": F.lit(D(2024, 1, 1)), "currency": F.lit("INR")})
+    party = {"quantity": F.lit(1.0), "supplier_name": F.lit("Acme"), "buyer_name": F.lit("Bolt")}
+    po = spark.createDataFrame([("po-1", 10.0)], "po_number string, amount double").withColumns(party)
+    grn = spark.createDataFrame([("grn-1", D(2024, 1, 1))], "grn_number string, delivery_date date").withColumns(party)
+    flags = matching.phantom_flag(matching.three_way_match(inv, po, grn))
+    assert rows(flags, "invoice_id") == [("a",), ("b",), ("d",), ("e",)]
+    assert re.search(r"Filter NOT passed#\d+\n", flags._jdf.queryExecution().optimizedPlan().toString())
