@@ -693,3 +693,17 @@ def test_a_phantom_is_told_from_one_verdict(spark):
     flags = matching.phantom_flag(matching.three_way_match(inv, po, grn))
     assert rows(flags, "invoice_id") == [("a",), ("b",), ("d",), ("e",)]
     assert re.search(r"Filter NOT passed#\d+\n", flags._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_the_stream_and_the_scores_read_one_stored_match(spark, tmp_path):
+    """Both orders of asking give the match with all its columns."""
+    from pathlib import Path
+
+    from factorwise.plans import views
+    from factorwise.plans.catalog import load
+
+    for file in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / file.name).symlink_to(file)
+    n = views.scored_invoices(spark, str(tmp_path)).count()
+    assert load().queries["stream_score"](spark, str(tmp_path)).count() > 0
+    assert views.stored_match(spark, str(tmp_path)).select("invoice_id", "overall", "passed").count() == n
